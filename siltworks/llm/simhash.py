@@ -142,7 +142,8 @@ def planes_of(fp: np.ndarray, block: np.ndarray, lane: np.ndarray, blocks: int)
     slots = np.zeros((blocks * 64, BITS // 8), np.uint8)
     slots[block * 64 + lane] = fp
     bit = np.unpackbits(slots, axis=1).reshape(blocks, 64, BITS)
-    return np.ascontiguousarray(np.packbits(bit.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0])
+    upright = np.packbits(np.ascontiguousarray(bit.transpose(2, 0, 1)), axis=2, bitorder="little")
+    return np.ascontiguousarray(upright).view(np.uint64).reshape(BITS, blocks)
 
 
 def sliced_compare(query_bits: np.ndarray, planes: np.ndarray, q: np.ndarray, k: np.ndarray, live: np.ndarray, radius: int = RADIUS) -> np.ndarray:
