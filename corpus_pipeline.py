@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, near-duplicate removal, substring deduplication."""
+"""Corpus pipeline: language ID, near-duplicate removal, substring deduplication, packing."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import language_id, simhash
+from siltworks.llm import language_id, packing, simhash, span_dedup
 from siltworks.llm.common import stored
 
 
@@ -18,7 +18,15 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language_id", language_stage), ("simhash", simhash_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language_id", language_stage), ("simhash", simhash_stage), ("substring_dedup", substring_stage), ("best_fit_packing", packing_stage)]
 
 #: SQL can't express the trained classifier, the fingerprints or the packing; tests/llm compares with brute force.
 ORACLE_SQL = None
