@@ -48,3 +48,13 @@ def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     place = assign_shards(rows, shards, seed, id_column, source_column).select(F.col(id_column).alias("__id"), "shard", "position")
     joined = rows.join(place, rows[id_column].eqNullSafe(place["__id"])).drop("__id")
     joined.repartition(shards, "shard").sortWithinPartitions("shard", "position").drop("position").write.partitionBy("shard").parquet(path)
+
+
+def oracle(shards: int = SHARDS, seed: int = SEED) -> str:
+    """The same as DuckDB SQL over ``documents``, whose ids are unique."""
+    return f"""
+WITH ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{seed}', doc_id::VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
+placed AS (SELECT *, ((2 * r - 1) * {shards}) // (2 * n) AS shard FROM ranked)
+SELECT doc_id, source, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY (2 * r - 1)::DOUBLE / (2 * n), source NULLS FIRST, r) - 1 AS position FROM placed
+"""
