@@ -28,6 +28,8 @@ WORDS = 12
 CUT = 8
 #: Lists of places are broadcast up to this many documents.
 BROADCAST_DOCS = 200_000
+#: Bytes of text that are cut into sentences at once (a longer single text comes alone).
+PORTION = 2 << 20
 _WORD = np.zeros(256, bool)
 _WORD[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +89,7 @@ def spans(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 def _scan(batches):
     for batch in batches:
-        for part in portions(batch):
+        for part in portions(batch, most=PORTION):
             row, place, _, _, h, to = spans(part.column("text"))
             k = np.flatnonzero(to)
             if not len(k):
@@ -164,8 +166,13 @@ def _cut_struct():
     def run(text, places):
         import pandas as pd
 
-        kept, gone = cut(pa.array(text, pa.string(), from_pandas=True), pa.array(places, pa.list_(pa.int32()), from_pandas=True))
-        return pd.DataFrame({"text": kept, "removed": gone})
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True), pa.array(places, pa.list_(pa.int32()), from_pandas=True)], ["text", "places"])
+        kept, gone = [], []
+        for part in portions(batch, most=PORTION):
+            k, g = cut(part.column("text"), part.column("places"))
+            kept += k
+            gone += g
+        return pd.DataFrame({"text": pd.Series(kept, dtype=object), "removed": pd.Series(gone, dtype=object)})
 
     return run
 
