@@ -198,8 +198,15 @@ def extract(media: DataFrame, id_column: str = "media_id", audio_column: str = "
 
 def as_tensors(table: pa.Table, column: str = "mel") -> pa.Table:
     """An Arrow table whose ``column`` has the fixed-shape tensor type; null lists stay null."""
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
-    chunks = [pa.ExtensionArray.from_storage(kind, c.cast(kind.storage_type)) for c in table.column(column).cast(pa.list_(pa.float32())).chunks]
+    kind, size = pa.fixed_shape_tensor(pa.float32(), SHAPE), FRAMES * MELS
+
+    def convert(lists: pa.Array) -> pa.Array:
+        none = lists.is_null().to_numpy(zero_copy_only=False)
+        values = np.zeros((len(lists), size), np.float32)
+        values[~none] = lists.drop_null().flatten().to_numpy().reshape(-1, size)
+        return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), size, mask=pa.array(none)))
+
+    chunks = [convert(c) for c in table.column(column).cast(pa.list_(pa.float32())).chunks]
     return table.set_column(table.schema.get_field_index(column), pa.field(column, kind), pa.chunked_array(chunks, kind))
 
 

@@ -140,7 +140,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """(doc_id, h, lang, posterior, accepted) for rows (doc_id, h, text, declared, suffix, host, domain)."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(table.astype(np.int32))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text", *[F.lower(F.substring_index(F.col(c).cast("string"), "-", 1)).alias(c) if c == "declared" else F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("h").cast("long").alias("h"), "text", *[F.lower(F.substring_index(F.col(c).cast("string"), "-", 1)).alias(c) if c == "declared" else F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")])
     light = stored(rows.mapInArrow(_score(shared), "doc_id long, h long, declared string, suffix string, host string, domain string, n long, ll array<long>"), "language")
     dec, suf = _evidence(langs, F.col("declared"), P_DECLARED), _evidence(langs, F.col("suffix"), P_SUFFIX)
     base = [F.col("ll")[k] + dec[k] + suf[k] for k in range(len(langs))]
