@@ -96,4 +96,4 @@ def run_limits(events: DataFrame, policy: Policy) -> DataFrame:
                 n, b = n + r.members, b + r.bytes
         return pd.DataFrame(out, columns=["container_id", "visit", "reason"])
 
-    return events.groupBy(F.lit(1)).applyInPandas(charge, schema)
+    return events.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(charge, schema)
