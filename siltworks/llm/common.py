@@ -86,7 +86,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def portions(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes of text each (a longer single text comes alone), to bound memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
