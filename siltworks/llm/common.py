@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -72,6 +73,24 @@ def without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return docs.join(k, cond, "left_anti")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def trimmed(run):
+    """``run`` over a task's batches; then freed memory goes back to the system, since the Python worker lives on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+    return whole
+
+
+def _trim() -> None:
+    _TRIM(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values of a string array, and the n + 1 offsets into them; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, portions, small, stored, utf8, without
+from .common import pick, portions, small, stored, trimmed, utf8, without
 
 TRAIN_DOCS = 20_000
 SLOTS = 1 << 16
@@ -82,7 +82,7 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.nd
     share = min(1.0, most / max(1, rows.select("lang").count()))
     if share < 1:
         rows = rows.where(F.abs(F.xxhash64(F.lit("train"), "doc_id") % 1_000_000) < int(share * 1_000_000))
-    found = rows.select("text", "lang").mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text", "lang").mapInArrow(trimmed(_count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((SLOTS + 1, len(langs) + 1), np.int32)
     table[:SLOTS, -1] = round(-1000 * math.log(SLOTS))
@@ -141,7 +141,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(table.astype(np.int32))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("h").cast("long").alias("h"), "text", *[F.lower(F.substring_index(F.col(c).cast("string"), "-", 1)).alias(c) if c == "declared" else F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")])
-    light = stored(rows.mapInArrow(_score(shared), "doc_id long, h long, declared string, suffix string, host string, domain string, n long, ll array<long>"), "language")
+    light = stored(rows.mapInArrow(trimmed(_score(shared)), "doc_id long, h long, declared string, suffix string, host string, domain string, n long, ll array<long>"), "language")
     dec, suf = _evidence(langs, F.col("declared"), P_DECLARED), _evidence(langs, F.col("suffix"), P_SUFFIX)
     base = [F.col("ll")[k] + dec[k] + suf[k] for k in range(len(langs))]
     light = light.select("doc_id", "h", "host", "domain", "n", *[b.alias(f"e{k}") for k, b in enumerate(base)])

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pick, portions, row_hash, slice_hashes, small, stored, utf8, without
+from .common import mix, pick, portions, row_hash, slice_hashes, small, stored, trimmed, utf8, without
 from .components import connected_components
 
 BITS = 256
@@ -278,7 +278,7 @@ def _sketch(batches):
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp) of every row with text; h is the hash of the text."""
     light = pick(docs, "doc_id", "text").where("text is not null").withColumn("h", row_hash("text"))
-    return light.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_sketch, "doc_id long, h long, fp binary")
+    return light.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(trimmed(_sketch), "doc_id long, h long, fp binary")
 
 
 def duplicate_groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, design: int = DESIGN) -> DataFrame:
@@ -324,8 +324,8 @@ def duplicate_groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECA
         if held:
             yield flush(held)
 
-    spread = prints.select("fp", "node").mapInArrow(scatter, "bucket long, node long, fp binary")
-    edges = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "u long, v long")
+    spread = prints.select("fp", "node").mapInArrow(trimmed(scatter), "bucket long, node long, fp binary")
+    edges = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(compare), "u long, v long")
     roots = connected_components(edges)
     group = prints.join(roots, prints["node"] == roots["node"], "left").select("fp", "first", F.coalesce("root", prints["node"]).alias("root"))
     keepers = group.groupBy("root").agg(F.min("first").alias("keep"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _powers, mix, pick, portions, slice_hashes, small, stored, utf8
+from .common import _powers, mix, pick, portions, slice_hashes, small, stored, trimmed, utf8
 
 SENTENCES = 3
 WORDS = 12
@@ -119,7 +119,7 @@ def _scan(batches):
 def repeated_places(docs: DataFrame) -> DataFrame:
     """(doc_id, h, places): for each document with repeats, the numbers of the sentences where a non-first span starts."""
     light = pick(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("h"), "text")
-    found = light.mapInArrow(_scan, "s long, doc_id long, loc long, more array<struct<doc_id:long,loc:long>>")
+    found = light.mapInArrow(trimmed(_scan), "s long, doc_id long, loc long, more array<struct<doc_id:long,loc:long>>")
     order = Window.partitionBy("s").orderBy(F.col("doc_id").asc_nulls_last(), "loc")
     ranked = found.withColumn("r", F.rank().over(order)).where("r > 1 or more is not null")
     own = F.when(F.col("r") > 1, F.array(F.struct("doc_id", "loc")))
