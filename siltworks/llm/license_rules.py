@@ -1,6 +1,7 @@
 """Hand-written licence signatures, in order: ``priority | licence | keyword | regular expression``.
 
-The keyword is a literal that every match contains; without it in the text the expression isn't tried. Expressions are matched
+Every match contains the keyword, a literal, or one of several parted by ``;``; with none of them in the text the expression
+isn't tried. A keyword may end within a word (``isc licen``). Expressions are matched
 against lower-cased text; a blank stands for any white space. Priorities: 9 full grants and notices, 7 versioned
 names, 5 plain names, 3 tags and links, 1 mere clues.
 """
@@ -15,7 +16,7 @@ _TEXT = r"""
 9 | x11 | x consortium | except as contained in this notice, the name of the x consortium shall not be used
 9 | isc | permission to use, copy, modify | permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee is hereby granted
 9 | 0bsd | permission to use, copy, modify | permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee is hereby granted\. the software is provided
-9 | isc | isc license | (?:licensed|released|distributed) under the (?:terms of the )?isc licen[sc]e
+9 | isc | isc licen | (?:licensed|released|distributed) under the (?:terms of the )?isc licen[sc]e
 9 | bsd-2-clause | redistribution and use | redistribution and use in source and binary forms, with or without modification, are permitted provided that the following (?:two )?conditions are met
 9 | bsd-3-clause | neither the name | neither the name of .{1,80}? nor the names of (?:its|any) contributors may be used to endorse or promote products
 9 | bsd-4-clause | all advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
@@ -79,7 +80,7 @@ _TEXT = r"""
 9 | psf-2.0 | python software foundation license | (?:licensed|distributed) under the python software foundation license(?: version 2)?
 9 | ruby | as ruby | under the same terms as ruby(?: itself)?
 9 | zlib | altered source versions | altered source versions must be plainly marked as such,? and must not be misrepresented as being the original software
-9 | zlib | zlib license | (?:licensed|released|distributed) under the zlib(?:/libpng)? licen[sc]e
+9 | zlib | zlib licen;zlib/libpng licen | (?:licensed|released|distributed) under the zlib(?:/libpng)? licen[sc]e
 9 | unlicense | unencumbered | this is free and unencumbered software released into the public domain
 9 | wtfpl | do what the | do what the f[u*]+ck? you want to(?: public license)?
 9 | bsl-1.0 | boost software license | distributed under the boost software license,? version 1\.0
@@ -87,14 +88,14 @@ _TEXT = r"""
 9 | ofl-1.0 | sil open font license | licensed under the sil open font license,? version 1\.0
 9 | openssl | openssl project | this product includes software developed by the openssl project for use in the openssl toolkit
 9 | php-3.01 | php license | subject to version 3\.01? of the php license
-9 | w3c | w3c software | (?:licensed|distributed) under the w3c(?:\(r\)|®)? software (?:and document )?(?:notice and )?license
+9 | w3c | w3c | (?:licensed|distributed) under the w3c(?:\(r\)|®)? software (?:and document )?(?:notice and )?license
 9 | eupl-1.2 | european union public licence | licensed under the european union public licence,? (?:v\.? ?|version )?1\.2
 9 | eupl-1.1 | european union public licence | licensed under the european union public licence,? (?:v\.? ?|version )?1\.1
 9 | osl-3.0 | open software license | licensed under the open software license,? version 3\.0
 9 | afl-3.0 | academic free license | licensed under the academic free license,? version 3\.0
 9 | afl-2.1 | academic free license | licensed under the academic free license,? version 2\.1
 9 | ncsa | university of illinois | (?:licensed|distributed) under the university of illinois(?:/ncsa)? open source license
-9 | postgresql | postgresql license | (?:licensed|released) under the postgresql licen[sc]e
+9 | postgresql | postgresql licen | (?:licensed|released) under the postgresql licen[sc]e
 9 | vim | vim license | (?:licensed|released|distributed) under the vim license
 9 | beerware | beer-ware | "?the beer-ware license"?(?: \(revision 42\))?
 9 | odbl-1.0 | open database license | made available under the open database license
@@ -103,17 +104,17 @@ _TEXT = r"""
 9 | busl-1.1 | business source license | (?:licensed|available) under the business source license,? (?:version )?1\.1
 9 | sspl-1.0 | server side public license | (?:licensed|available) under the server side public license(?:,? (?:version |v)1)?
 9 | elastic-2.0 | elastic license | (?:licensed|available) under the elastic license,? (?:version )?2\.0
-9 | commons-clause | commons clause | the software is provided to you by the licensor under the license.{0,40}? subject to the following condition|"?commons clause"? license condition(?: v1\.0)?
+9 | commons-clause | commons clause;provided to you by the licensor | the software is provided to you by the licensor under the license.{0,40}? subject to the following condition|"?commons clause"? license condition(?: v1\.0)?
 9 | polyform-noncommercial-1.0.0 | polyform | polyform noncommercial license 1\.0\.0
 9 | polyform-shield-1.0.0 | polyform | polyform shield license 1\.0\.0
 9 | json | shall be used for good | the software shall be used for good, not evil
 9 | proprietary | unauthorized copying | unauthorized copying of this (?:file|document|work|software),? via any medium,? is strictly prohibited
-9 | proprietary | may not be reproduced | (?:no part of this \w+|this (?:document|publication|work)) may not? be reproduced.{0,60}? without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
+9 | proprietary | be reproduced | (?:no part of this \w+|this (?:document|publication|work)) may not? be reproduced.{0,60}? without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
 9 | public-domain | public domain | (?:this (?:work|file|text) is |has been )?(?:released|placed|dedicated) (?:in|into|to) the public domain
 9 | crown-copyright | open government licence | contains public sector information licensed under the open government licence(?: v3\.0)?
 9 | ogl-uk-3.0 | open government licence | licensed under the open government licence v(?:ersion )?3\.0
 9 | ogl-uk-2.0 | open government licence | licensed under the open government licence v(?:ersion )?2\.0
-9 | openrail-m | openrail | licensed under (?:the )?(?:creativeml |bigscience )?open ?rail(?:-m)?(?: license)?
+9 | openrail-m | openrail;open rail | licensed under (?:the )?(?:creativeml |bigscience )?open ?rail(?:-m)?(?: license)?
 9 | etalab-2.0 | licence ouverte | (?:sous )?licence ouverte(?: / open licence)?(?: version 2\.0)?
 9 | cc-by-4.0 | creative commons | sous licence creative commons attribution 4\.0
 9 | cc-by-sa-4.0 | creative commons | sous licence creative commons attribution - partage dans les mêmes conditions 4\.0
@@ -185,9 +186,9 @@ _TEXT = r"""
 5 | apache | apache license | \bapache license\b
 5 | mit | mit license | \bmit license\b
 5 | mit | mit-style | \bmit-style licen[sc]e\b
-5 | mit | expat license | \bexpat licen[sc]e\b
-5 | isc | isc license | \bisc licen[sc]e\b
-5 | bsd | bsd license | \bbsd licen[sc]e\b
+5 | mit | expat licen | \bexpat licen[sc]e\b
+5 | isc | isc licen | \bisc licen[sc]e\b
+5 | bsd | bsd licen | \bbsd licen[sc]e\b
 5 | gpl | general public license | \bgnu general public license\b
 5 | lgpl | lesser general public license | \bgnu lesser general public license\b
 5 | lgpl | library general public license | \bgnu library general public license\b
@@ -201,15 +202,15 @@ _TEXT = r"""
 5 | unlicense | the unlicense | \bthe unlicense\b
 5 | ofl | open font license | \b(?:sil )?open font license\b
 5 | boost | boost software license | \bboost software license\b
-5 | zlib | zlib license | \bzlib licen[sc]e\b
+5 | zlib | zlib licen | \bzlib licen[sc]e\b
 5 | artistic | artistic license | \bartistic license\b
 5 | wtfpl | wtfpl | \bwtfpl\b
 5 | ogl | open government licence | \bopen government licence\b
 5 | odbl | odbl | \bodbl\b
-5 | proprietary | proprietary license | \bproprietary licen[sc]e\b
+5 | proprietary | proprietary licen | \bproprietary licen[sc]e\b
 5 | proprietary | proprietary and confidential | \bproprietary and confidential\b
-5 | commercial | commercial license | \bcommercial licen[sc]e\b
-5 | eula | end user license agreement | \bend[- ]user licen[sc]e agreement\b
+5 | commercial | commercial licen | \bcommercial licen[sc]e\b
+5 | eula | user licen | \bend[- ]user licen[sc]e agreement\b
 3 | spdx-tag | spdx-license-identifier | spdx-license-identifier: ?\(?[a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*\)?
 3 | apache-2.0 | apache.org/licenses | (?:https?://)?(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?
 3 | mit | opensource.org/licenses/mit | (?:https?://)?(?:www\.)?opensource\.org/licenses/mit(?:-license\.php)?
@@ -239,8 +240,8 @@ _TEXT = r"""
 1 | copyright | © | © ?(?:19|20)\d\d(?:[-–, ]+(?:19|20)\d\d)*
 1 | license-clue | licensed under | \blicensed under (?:the|a|an) [^.\n]{3,80}
 1 | license-clue | license file | \bsee (?:the )?(?:accompanying )?license file\b
-1 | license-clue | licence: | ^ ?licen[cs]e: ?[^\n]{2,60}
-1 | license-clue | license: | ^ ?licen[cs]e: ?[^\n]{2,60}
+1 | license-clue | licence:;license: | ^ ?licen[cs]e: ?[^\n]{2,60}
+1 | license-clue | licence:;license: | ^ ?licen[cs]e: ?[^\n]{2,60}
 """
 
 #: (number, priority, licence, keyword, expression)

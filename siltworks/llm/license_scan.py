@@ -47,7 +47,8 @@ class Scanner:
         self.rules = compiled(rules)
         words: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            words.setdefault(" ".join(r[3].split()), []).append(i)
+            for w in r[3].split(";"):
+                words.setdefault(" ".join(w.split()), []).append(i)
         self.machine = ahocorasick.Automaton()
         # a keyword's first word, since white space within it may vary
         heads: dict[str, list[tuple[str, list[int]]]] = {}

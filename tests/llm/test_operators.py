@@ -349,3 +349,48 @@ def test_bpe_against_reference_library(spark, messy):
     back = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in bpe.decode(bpe.encode(messy)).collect())
     assert back == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in messy.collect())
     assert bpe.encode(empty(spark)).count() == 0
+
+
+def expansions(items):
+    """Texts that an expression's parts match: every branch and member of a class, repeats at their least and once more."""
+    out = {""}
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            own = {chr(arg)}
+        elif name == "IN":
+            own = {"x"} if str(arg[0][0]) == "NEGATE" else {chr(a if str(o) == "LITERAL" else a[0]) if str(o) != "CATEGORY" else "1" if "DIGIT" in str(a) else "x" for o, a in arg}
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = expansions(arg[2])
+            own = {x * arg[0] for x in one} | {x * min(arg[0] + 1, arg[1]) for x in one}
+        elif name == "SUBPATTERN":
+            own = expansions(arg[3])
+        elif name == "BRANCH":
+            own = set().union(*[expansions(x) for x in arg[1]])
+        else:
+            own = {""} if name == "AT" else {"x"}
+            assert name in ("ANY", "AT", "NOT_LITERAL"), name
+        out = {a + b for a in out for b in own}
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    from re import _parser
+
+    bad = {}
+    for n, _, _, word, rule in license_scan.RULES:
+        texts = [" ".join(t.split()) for t in expansions(_parser.parse(rule))]
+        missed = [t for t in texts if not any(w in t for w in word.split(";"))]
+        if missed:
+            bad[n] = missed[0]
+    assert not bad
+
+
+def test_license_spellings():
+    scanner = license_scan.Scanner()
+    names = lambda text: [scanner.rules[n][2] for _, n, _, _ in scanner.scan(text)]
+    assert names("Bound by the End-User License Agreement.") == names("an end user licence\nagreement") == ["eula"]
+    assert names("Released under the zlib/libpng license") == names("released under the zlib licence") == ["zlib"]
+    assert names("the Expat licence") == ["mit"] and names("ISC  licence") == ["isc"] and names("a BSD\nlicence") == ["bsd"]
+    assert names("released under the PostgreSQL licence") == ["postgresql"] and names("Licensed under Open RAIL-M license") == ["openrail-m"]
+    assert names("The Software is provided to you by the Licensor under the License, as defined below, subject to the following condition") == ["commons-clause"]
