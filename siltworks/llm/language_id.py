@@ -3,8 +3,8 @@
 The posterior of a language is the normalised product of independent evidence, in thousandths of a nat (whole numbers, so
 that sums don't depend on their order):
 
-* text: byte-trigram log likelihoods over the whole text, from counts of a bounded labelled sample (``TRAIN_DOCS``, in
-  expectation), tempered to at most ``EFFECTIVE`` trigrams, since neighbours overlap;
+* text: byte-trigram log likelihoods over the whole text, from counts of a bounded labelled sample of each language
+  (``TRAIN_DOCS`` of it, in expectation, all where it has no more), tempered to at most ``EFFECTIVE`` trigrams, since neighbours overlap;
 * declared language (a ``lang`` column, or the lang attribute of ``<html>``), right with ``P_DECLARED``;
 * address suffix (country or language suffix of the host, or a leading path segment), right with ``P_SUFFIX``;
 * the host's prior: counts of each host's most likely languages over all rows, grouped by host and by parent domain, smoothed
@@ -76,12 +76,16 @@ def _count(batches):
 def train(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted and then "und", and (SLOTS + 1, languages) log likelihoods. labelled: (doc_id, text, lang).
 
-    The sample is a hash threshold on the id, set so that about ``most`` labelled rows fall under it.
+    The sample of each language is a hash threshold on the id, set so that about ``most`` of its rows fall under it; a language
+    with no more than ``most`` gives all its rows, so that a rare one is known in a table of any size. One without a
+    single letter in its texts can't be told from "und" and is left out.
     """
     rows = pick(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null").where(F.col("lang") != UND)
-    share = min(1.0, most / max(1, rows.select("lang").count()))
-    if share < 1:
-        rows = rows.where(F.abs(F.xxhash64(F.lit("train"), "doc_id") % 1_000_000) < int(share * 1_000_000))
+    counts = rows.groupBy("lang").count().collect()
+    limits = [F.lit(x) for r in counts if r["count"] > most for x in (r["lang"], math.ceil(1_000_000 * most / r["count"]))]
+    if limits:
+        limit = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("lang")), F.lit(1_000_000))
+        rows = rows.where(F.abs(F.xxhash64(F.lit("train"), "doc_id") % 1_000_000) < limit)
     found = rows.select("text", "lang").mapInArrow(trimmed(_count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((SLOTS + 1, len(langs) + 1), np.int32)

@@ -65,6 +65,19 @@ def test_language_host_prior_decides(spark):
     assert got[100] in ("en", None) and got[101] in ("de", None)
 
 
+def test_language_rare_is_trained(spark):
+    """The bound of the sample holds for each language: a rare one keeps all its rows however large the table is."""
+    swedish = "Den snabba bruna räven hoppar över den lata hunden medan den gamla bonden tittar på från sin veranda. "
+    rows = [(i, (ENGLISH, GERMAN)[i % 2] + str(i), ("en", "de")[i % 2], None, 1) for i in range(4000)] + [(i, swedish + str(i), "sv", None, 1) for i in range(4000, 4005)]
+    docs = spark.createDataFrame(rows, DOCS)
+    langs, table = language_id.train(docs, 100)
+    assert langs == ["de", "en", "sv", "und"]
+    assert (table[:, 2] == language_id.train(docs.where("lang = 'sv'"))[1][:, 0]).all()
+    got = {r["doc_id"]: r for r in language_id.identify_documents(docs, 100).collect()}
+    assert all(got[i]["lang"] == "sv" and got[i]["accepted"] for i in range(4000, 4005))
+    assert got[0]["lang"] == "en" and got[1]["lang"] == "de"
+
+
 def test_simhash_edges(spark, messy):
     got = simhash.deduplicate(messy)
     assert got.columns == messy.columns
