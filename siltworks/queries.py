@@ -6,6 +6,7 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Callable
+from dataclasses import replace
 from email.message import EmailMessage
 
 import pandas as pd
@@ -23,6 +24,8 @@ from .streaming import intake
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 POLICY = Policy()
+#: Of round trips over a table of any size; the limits of one container stay.
+ROUND_TRIP = replace(POLICY, max_members_run=1 << 62, max_run_bytes=1 << 62)
 
 
 def query(sql: str | None = None):
@@ -350,7 +353,7 @@ def _recovered(spark, d, pack, ending: str):
     # the ordinals of archives follow from their names' order; only names travel
     order = budgets.running_total(built.select("archive", F.lit(1).cast("long").alias("one")), "one", ["archive"], 16).select(F.col("archive").alias("a"), F.array("running").alias("visit"))
     rows = built.join(order, F.col("archive") == F.col("a")).select("visit", F.concat("archive", F.lit(ending)).alias("name"), F.concat("archive", F.lit(ending)).alias("source_path"), "payload")
-    return recover(rows, POLICY, "packed")
+    return recover(rows, ROUND_TRIP, "packed")
 
 
 def _ids(occurrences: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from siltworks import queries
 from siltworks.functions import identify, text
+from siltworks.operators import budgets
 from siltworks.operators.expand import recover
 from siltworks.operators.policy import Policy
 from siltworks.plans import planner, publish, run
@@ -114,6 +116,24 @@ def test_depth_subtree_and_run_limits(spark):
     assert found(spark, {})[0] == {}
 
 
+@pytest.mark.parametrize("name", ["q29_zip_roundtrip", "q30_tar_roundtrip", "q31_nested_roundtrip", "q32_mbox_roundtrip", "q37_manifest_counts"])
+def test_round_trips_run_over_large_tables(spark, monkeypatch, name):
+    """The policy a round trip runs under refuses nothing of 12 million members and 200 GB."""
+
+    class Seen(Exception):
+        pass
+
+    def seen(rows, policy, root):
+        raise Seen(policy)
+
+    monkeypatch.setattr(queries, "recover", seen)
+    with pytest.raises(Seen) as e:
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    (policy,) = e.value.args
+    events = spark.range(600).selectExpr("array(id) as visit", "1 as step", "string(id) as container_id", "cast(array() as array<string>) as parents", "20000L as members", "333333333L as bytes")
+    assert budgets.run_limits(events, policy.validate()).count() == 0 < budgets.run_limits(events, Policy()).count()
+
+
 def test_name_folds_match_a_sequential_fold(spark):
     rng = random.Random(7)
     pool = ["a.txt", "A.txt", "a_1.txt", "a_1_1.txt", "a_2.txt", "b", "B_1", "ä.x", "Ä.x", "c.y"]
