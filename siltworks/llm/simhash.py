@@ -5,7 +5,7 @@ none so long; a text without words gets bits of its whole content, so that it eq
 words, which any two texts of a language share, thus don't count.
 
 Search: every distinct fingerprint is put in ``tables`` buckets, each keyed by ``bits`` sampled bit positions. Both follow
-from the number of fingerprints and the wanted recall at a design distance, by one formula for every size. Within
+from the number of fingerprints and the wanted recall at a design distance and at the radius, by one formula for every size. Within
 a bucket all members are compared, without a cap, by bit planes: 64 fingerprints lie side by side in the 256 words of a
 block; a query's bit flips a plane, and carry-save adders sum the planes into bit-sliced counters, so that one operation
 advances 64 distances. After each portion of planes, the (query, block) pairs in which every lane has exceeded the
@@ -34,6 +34,8 @@ RADIUS = 44
 RECALL = 0.97
 #: The distance at which RECALL is to be reached; closer pairs are found more surely.
 DESIGN = 32
+#: Recall to be reached at the radius itself, however many fingerprints there are.
+EDGE_RECALL = 0.9
 _WORD = np.zeros(256, bool)
 _WORD[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
 _SALTS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -99,11 +101,16 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
-def plan(n: int, recall: float = RECALL, design: int = DESIGN) -> tuple[int, int]:
-    """(bits, tables) for n fingerprints: about 64 unrelated ones in a bucket, and as many tables as the recall needs."""
+def plan(n: int, recall: float = RECALL, design: int = DESIGN, radius: int = RADIUS) -> tuple[int, int]:
+    """(bits, tables) for n fingerprints: about 64 unrelated ones in a bucket, and as many tables as both recalls need."""
     bits = min(BITS, max(8, math.ceil(math.log2(max(n, 2))) - 6))
-    hit = (1 - design / BITS) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+
+    def needed(wanted: float, distance: int) -> int:
+        # a table's bit positions are drawn without repetition
+        hit = math.prod((BITS - distance - i) / (BITS - i) for i in range(bits))
+        return math.ceil(math.log(1 - wanted) / math.log(1 - hit))
+
+    return bits, max(needed(recall, design), needed(EDGE_RECALL, radius))
 
 
 def _positions(bits: int, tables: int) -> np.ndarray:
@@ -286,7 +293,7 @@ def duplicate_groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECA
     rows = stored(sketches(docs), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
     prints = stored(rows.groupBy("fp").agg(F.min(order).alias("first")).select("fp", F.xxhash64("fp").alias("node"), "first"), "simhash-prints")
-    bits, tables = plan(prints.count(), recall, design)
+    bits, tables = plan(prints.count(), recall, design, radius)
     positions = _positions(bits, tables)
 
     def scatter(batches):

@@ -101,6 +101,19 @@ def test_simhash_against_brute_force(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 10_000_000])
+def test_simhash_recall_at_the_radius(n):
+    """Pairs as far apart as the radius share a bucket in nine of ten cases, with the tables of a large input too."""
+    rng = np.random.default_rng(7)
+    positions = simhash._positions(*simhash.plan(n))
+    a = rng.integers(0, 2, (4000, simhash.BITS), dtype=np.uint8)
+    b = a.copy()
+    far = rng.permuted(np.tile(np.arange(simhash.BITS), (4000, 1)), axis=1)[:, : simhash.RADIUS]
+    np.put_along_axis(b, far, 1 - np.take_along_axis(b, far, 1), 1)
+    keys = [simhash.bucket_keys(np.packbits(x, axis=1), positions) for x in (a, b)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.89
+
+
 def test_bit_slices_count_exactly():
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 256, (200, 32), dtype=np.uint8)
