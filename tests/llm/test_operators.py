@@ -165,6 +165,23 @@ def test_url_filter(spark, tmp_path):
     assert url_filter.decide(one, redirects=known).first()["decision"] == "blocked"
 
 
+def test_url_filter_propagates_along_long_chains(spark):
+    """60 chains of 12 hosts, linked by canonical links, refreshes and known redirects in turn; rules name single members."""
+    at = lambda c, k: f"https://c{c}-{k}.example.com/p"
+    pages, known = [], []
+    for c in range(60):
+        for k in range(12):
+            to = at(c, k + 1)
+            html = (f"<link rel=canonical href={to}>", f"<meta http-equiv=refresh content='0; url={to}'>", None)[k % 3] if k < 11 else None
+            pages.append((c * 12 + k, at(c, k), html))
+            if k % 3 == 2 and k < 11:
+                known.append((at(c, k), to))
+    rules = [("block", f"c{c}-{c % 12}.example.com") for c in range(60) if c % 3 != 0] + [("allow", f"c{c}-{(c + 5) % 12}.example.com/p") for c in range(60) if c % 3 == 2]
+    got = url_filter.decide(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=spark.createDataFrame(rules, "action string, value string"), redirects=spark.createDataFrame(known, "src string, dst string")).collect()
+    assert {r["page_id"]: r["decision"] for r in got} == {c * 12 + k: ("unlisted", "blocked", "allowed")[c % 3] for c in range(60) for k in range(12)}
+    assert len({r["alias_of"] for r in got}) == 60
+
+
 def test_license_scan(spark, messy):
     texts = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "x\nSPDX-License-Identifier: MIT\n" * 2, "Copyright 2020 A. All rights reserved.", "plain", "", None, "a " * 60_000 + " released under the MIT license"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("rule", F.lit(1))
