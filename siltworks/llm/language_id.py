@@ -5,17 +5,22 @@ that sums don't depend on their order):
 
 * text: byte-trigram log likelihoods over the whole text, from counts of a bounded labelled sample of each language
   (``TRAIN_DOCS`` of it, in expectation, all where it has no more), tempered to at most ``EFFECTIVE`` trigrams, since neighbours overlap;
-* declared language (a ``lang`` column, or the lang attribute of ``<html>``), right with ``P_DECLARED``;
+* declared language (the lang attribute of ``<html>``, or a column that is named), right with ``P_DECLARED``;
 * address suffix (country or language suffix of the host, or a leading path segment), right with ``P_SUFFIX``;
-* the host's prior: counts of each host's most likely languages over all rows, grouped by host and by parent domain, smoothed
-  down the hierarchy: all rows, domain, host.
+* the host's prior: counts of each host's most likely languages over all rows, grouped by host, registered domain and public
+  suffix, smoothed down the hierarchy: all rows, suffix, domain, host. A row's own guess is taken out of the counts it is
+  judged by. ``source`` is the host of documents.
+
+The ``lang`` column of documents is what the sample is labelled with, so it isn't evidence unless ``declared`` asks for it. Labels
+and declared languages are taken in lower case and without region (``EN-us`` is ``en``).
 
 "und" (undetermined) is one more language with uniform trigrams: what fits no trained language better than chance goes there.
 A document is accepted if its best language isn't "und" and has at least ``MIN_POSTERIOR``.
 
 Defined cases: null text, and text without letters, has no language, posterior null, and isn't accepted; null declared
 language, address or host gives no such evidence; repeated rows get equal results; a table without labelled rows
-leaves "und" alone, and nothing is accepted; ties go to the language that sorts first; extra columns don't matter.
+leaves "und" alone, and nothing is accepted; ties go to the language that sorts first; very long texts count whole; an
+empty table gives no rows; extra columns don't matter and pass through the filter, whatever their names; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -28,18 +33,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, portions, small, stored, trimmed, utf8, without
+from .common import kind_of, less_rows, pick, portions, positional, small, stored, trimmed, utf8
 
 TRAIN_DOCS = 20_000
 SLOTS = 1 << 16
 EFFECTIVE = 60
 P_DECLARED, P_SUFFIX = 0.9, 0.8
 P_UND = 0.01
-DOMAIN_MASS, HOST_MASS = 50.0, 20.0
+TOP_MASS, DOMAIN_MASS, HOST_MASS = 100.0, 50.0, 20.0
+#: Counts of hosts are broadcast up to this many bytes.
+BROADCAST_BYTES = 48 << 20
 MIN_POSTERIOR = 0.5
 UND = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(97, 123)) + list(range(128, 256))] = True
+#: Labels below a country's that are part of its public suffixes (``co.uk``).
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "gob", "mil", "ne", "net", "or", "org")
 #: Country and language suffixes and path segments that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "en": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "se": "sv", "ru": "ru", "jp": "ja", "cn": "zh"}
 
@@ -73,6 +82,11 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(k // SLOTS)), pa.array((k % SLOTS).astype(np.int32)), pa.array(n[k])], ["lang", "slot", "n"])
 
 
+def plain_language(c: Column) -> Column:
+    """A language tag without region, in lower case; null where it is empty."""
+    return F.nullif(F.lower(F.regexp_extract(F.trim(c.cast("string")), r"^([A-Za-z]+)", 1)), F.lit(""))
+
+
 def train(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted and then "und", and (SLOTS + 1, languages) log likelihoods. labelled: (doc_id, text, lang).
 
@@ -80,7 +94,7 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.nd
     with no more than ``most`` gives all its rows, so that a rare one is known in a table of any size. One without a
     single letter in its texts can't be told from "und" and is left out.
     """
-    rows = pick(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null").where(F.col("lang") != UND)
+    rows = pick(labelled, "doc_id", "text", "lang").withColumn("lang", plain_language(F.col("lang"))).where("text is not null and lang is not null").where(F.col("lang") != UND)
     counts = rows.groupBy("lang").count().collect()
     limits = [F.lit(x) for r in counts if r["count"] > most for x in (r["lang"], math.ceil(1_000_000 * most / r["count"]))]
     if limits:
@@ -98,11 +112,14 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.nd
     return [*langs, UND], table
 
 
+_LIGHT = ("doc_id", "h", "declared", "suffix", "host", "domain", "top")
+
+
 def _score(shared):
     def run(batches):
         table = shared.value
         for batch in batches:
-            for part in portions(batch, most=1 << 20):
+            for part in portions(batch, most=1 << 19):
                 slot, at = trigrams(part.column("text"))
                 use = np.flatnonzero(slot < SLOTS)
                 row = np.searchsorted(at, use, side="right") - 1
@@ -115,7 +132,7 @@ def _score(shared):
                         sums[row[bounds], k] = np.add.reduceat(table[:, k][got], bounds, dtype=np.int64)
                 ll = sums * np.minimum(n, EFFECTIVE)[:, None] // np.maximum(n, 1)[:, None]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "h", "declared", "suffix", "host", "domain")], pa.array(n), flat], ["doc_id", "h", "declared", "suffix", "host", "domain", "n", "ll"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _LIGHT], pa.array(n), flat], [*_LIGHT, "n", "ll"])
 
     return run
 
@@ -130,82 +147,96 @@ def _evidence(langs: list[str], declared: Column, p: float) -> list[Column]:
     return [F.when(declared.isin(known), F.when(declared == x, _milli(p)).otherwise(wrong)).otherwise(0) for x in langs]
 
 
-def address_parts(url: Column) -> tuple[Column, Column, Column]:
-    """Host without www., parent domain (last two labels) and language suffix of an address; nulls where there is none."""
+def host_parts(host: Column) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host; a name without dots lies in the domain and suffix "*"."""
+    top = F.regexp_extract(host, rf"\.((?:{'|'.join(SECOND)})\.[a-z]{{2}})$", 1)
+    top = F.when(top != "", top).otherwise(F.regexp_extract(host, r"\.([^.]+)$", 1))
+    domain = F.when(top == "", "*").otherwise(F.concat(F.element_at(F.split(F.substring(host, F.lit(1), F.char_length(host) - F.char_length(top) - 1), r"\."), -1), F.lit("."), top))
+    return F.when(host.isNotNull(), domain), F.when(host.isNotNull(), F.when(top == "", "*").otherwise(top))
+
+
+def address_parts(url: Column) -> tuple[Column, Column]:
+    """Host without www. and language suffix of an address; nulls where there is none."""
     host = F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", ""), F.lit(""))
-    domain = F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
     seg = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     tld = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
     table = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
-    return host, domain, F.coalesce(F.try_element_at(table, seg), F.try_element_at(table, tld))
+    return host, F.coalesce(F.try_element_at(table, seg), F.try_element_at(table, tld))
 
 
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """(doc_id, h, lang, posterior, accepted) for rows (doc_id, h, text, declared, suffix, host, domain)."""
-    spark = rows.sparkSession
+    """(doc_id, h, lang, posterior, accepted) for rows (doc_id, h, text, declared, suffix, host)."""
+    spark, size = rows.sparkSession, range(len(langs))
     shared = spark.sparkContext.broadcast(table.astype(np.int32))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("h").cast("long").alias("h"), "text", *[F.lower(F.substring_index(F.col(c).cast("string"), "-", 1)).alias(c) if c == "declared" else F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")])
-    light = stored(rows.mapInArrow(trimmed(_score(shared)), "doc_id long, h long, declared string, suffix string, host string, domain string, n long, ll array<long>"), "language")
+    rows = rows.select("doc_id", F.col("h").cast("long").alias("h"), "text", plain_language(F.col("declared")).alias("declared"), *[F.col(c).cast("string").alias(c) for c in ("suffix", "host")])
+    domain, top = host_parts(F.col("host"))
+    rows = rows.withColumns({"domain": domain, "top": top})
+    light = stored(rows.mapInArrow(trimmed(_score(shared)), f"doc_id {kind_of(rows, 'doc_id')}, h long, declared string, suffix string, host string, domain string, top string, n long, ll array<long>"), "language")
     dec, suf = _evidence(langs, F.col("declared"), P_DECLARED), _evidence(langs, F.col("suffix"), P_SUFFIX)
-    base = [F.col("ll")[k] + dec[k] + suf[k] for k in range(len(langs))]
-    light = light.select("doc_id", "h", "host", "domain", "n", *[b.alias(f"e{k}") for k, b in enumerate(base)])
-    top = F.greatest(*[F.col(f"e{k}") for k in range(len(langs))]) if len(langs) > 1 else F.col("e0")
+    light = light.select("doc_id", "h", "host", "domain", "top", "n", *[(F.col("ll")[k] + dec[k] + suf[k]).alias(f"e{k}") for k in size])
+    best = F.greatest(*[F.col(f"e{k}") for k in size]) if len(langs) > 1 else F.col("e0")
     guess = F.lit(None).cast("int")
-    for k in reversed(range(len(langs))):
-        guess = F.when(F.col(f"e{k}") == top, k).otherwise(guess)
+    for k in reversed(size):
+        guess = F.when(F.col(f"e{k}") == best, k).otherwise(guess)
+    light = light.withColumn("guess", guess)
     # grouped aggregation of all rows: once by host, then rolled up
-    ones = [F.sum(F.when(F.col("guess") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(len(langs))]
-    hosts = stored(light.where("n > 0").withColumn("guess", guess).groupBy("domain", "host").agg(*ones), "language-hosts")
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(len(langs))]
-    total = hosts.agg(*sums).first()
-    total = [x or 0 for x in total]
+    ones = [F.sum(F.when(F.col("guess") == k, 1).otherwise(0)).alias(f"h{k}") for k in size]
+    hosts = stored(light.where("n > 0").groupBy("top", "domain", "host").agg(*ones), "language-hosts")
+    total = [x or 0 for x in hosts.agg(*[F.sum(f"h{k}") for k in size]).first()]
     known = max(1, sum(total[:-1]))
     world = [(1 - P_UND) * (t + 1) / (known + len(langs) - 1) for t in total[:-1]] + [P_UND]
-    domains = hosts.groupBy("domain").agg(*sums)
-    dn = sum([F.col(f"n{k}") for k in range(len(langs))], F.lit(0))
-    domains = domains.select(F.col("domain").alias("d_domain"), *[((F.col(f"n{k}") + DOMAIN_MASS * world[k]) / (dn + DOMAIN_MASS)).alias(f"d{k}") for k in range(len(langs))])
-    prior = hosts.join(domains, hosts["domain"].eqNullSafe(domains["d_domain"]))
-    prior = stored(prior.select(F.col("host").alias("p_host"), F.col("domain").alias("p_domain"), *[F.round(1000 * F.log((F.col(f"n{k}") + HOST_MASS * F.col(f"d{k}")) / (dn + HOST_MASS))).cast("long").alias(f"p{k}") for k in range(len(langs))]), "language-priors")
-    near = small(prior)
-    joined = light.join(near, light["host"].eqNullSafe(near["p_host"]) & light["domain"].eqNullSafe(near["p_domain"]), "left")
-    score = [F.col(f"e{k}") + F.when(F.col("host").isNull(), _milli(world[k])).otherwise(F.coalesce(F.col(f"p{k}"), F.lit(_milli(world[k])))) for k in range(len(langs))]
-    s = joined.select("doc_id", "h", "n", *[x.alias(f"s{k}") for k, x in enumerate(score)])
-    top = F.greatest(*[F.col(f"s{k}") for k in range(len(langs))]) if len(langs) > 1 else F.col("s0")
-    best = F.lit(None).cast("string")
-    for k in reversed(range(len(langs))):
-        best = F.when(F.col(f"s{k}") == top, langs[k]).otherwise(best)
-    mass = sum([F.exp((F.col(f"s{k}") - top) / 1000.0) for k in range(len(langs))], F.lit(0.0))
-    some = F.col("n") > 0
-    out = s.select("doc_id", "h", F.when(some, best).alias("lang"), F.when(some, F.round(1 / mass, 6)).alias("posterior"))
-    return out.withColumn("accepted", F.coalesce((F.col("lang") != UND) & (F.col("posterior") >= MIN_POSTERIOR), F.lit(False)))
+    domains = hosts.groupBy("top", "domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in size])
+    tops = hosts.groupBy("top").agg(*[F.sum(f"h{k}").alias(f"t{k}") for k in size])
+    prior = hosts.where("host is not null").join(domains, ["top", "domain"]).join(tops, "top")
+    prior = stored(prior.select(F.col("host").alias("p_host"), *[f"{x}{k}" for x in "hdt" for k in size]), "language-priors")
+    joined = light.join(small(prior, BROADCAST_BYTES // (64 + 24 * len(langs))), light["host"] == prior["p_host"], "left")
+    n = {x: sum([F.col(f"{x}{k}") for k in size], F.lit(0)) for x in "hdt"}
+
+    def prior_of(k: int) -> Column:
+        own = F.when(F.col("guess") == k, 1).otherwise(0)
+        p = F.lit(world[k])
+        for x, mass in (("t", TOP_MASS), ("d", DOMAIN_MASS), ("h", HOST_MASS)):
+            p = (F.col(f"{x}{k}") - own + mass * p) / (n[x] - 1 + mass)
+        return F.coalesce(F.round(1000 * F.log(p)).cast("long"), F.lit(_milli(world[k])))
+
+    s = joined.where("n > 0").select("doc_id", "h", *[(F.col(f"e{k}") + prior_of(k)).alias(f"s{k}") for k in size])
+    best = F.greatest(*[F.col(f"s{k}") for k in size]) if len(langs) > 1 else F.col("s0")
+    lang = F.lit(None).cast("string")
+    for k in reversed(size):
+        lang = F.when(F.col(f"s{k}") == best, langs[k]).otherwise(lang)
+    mass = sum([F.exp((F.col(f"s{k}") - best) / 1000.0) for k in size], F.lit(0.0))
+    out = s.select("doc_id", "h", lang.alias("lang"), F.round(1 / mass, 6).alias("posterior"))
+    out = out.withColumn("accepted", (F.col("lang") != UND) & (F.col("posterior") >= MIN_POSTERIOR))
+    bare = light.where("n = 0").select("doc_id", "h", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
+    return out.unionByName(bare)
 
 
 KEY = ("doc_id", "text", "lang", "source")
 
 
-def identify_documents(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, h, lang, posterior, accepted) of documents: ``lang`` is the declared language, ``source`` the host."""
+def identify_documents(docs: DataFrame, most: int = TRAIN_DOCS, declared: bool = False) -> DataFrame:
+    """(doc_id, h, lang, posterior, accepted) of documents; ``lang`` labels the sample, ``source`` is the host."""
     langs, table = train(docs, most)
     host = F.nullif(F.lower(F.trim(F.col("source").cast("string"))), F.lit(""))
-    rows = pick(docs, *KEY).select("doc_id", F.xxhash64(*KEY).alias("h"), "text", F.col("lang").alias("declared"), F.lower(F.regexp_extract("source", r"\.([A-Za-z]{2})$", 1)).alias("tld"), host.alias("host"))
+    said = F.col("lang").cast("string") if declared else F.lit(None).cast("string")
     lookup = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
-    domain = F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.lit("*"))
-    return identify(rows.withColumn("suffix", F.try_element_at(lookup, "tld")).withColumn("domain", F.when(F.col("host").isNotNull(), domain)), langs, table)
+    rows = pick(docs, *KEY).select("doc_id", F.xxhash64(*KEY).alias("h"), "text", said.alias("declared"), F.try_element_at(lookup, F.regexp_extract(host, r"\.([a-z]{2})$", 1)).alias("suffix"), host.alias("host"))
+    return identify(rows, langs, table)
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """The same of web pages (page_id, url, html), trained on labelled documents: markup language, address and host count."""
     langs, table = train(labelled, most)
-    url = F.col("url").cast("string")
-    host, domain, suffix = address_parts(url)
+    host, suffix = address_parts(F.col("url").cast("string"))
     text = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[#A-Za-z0-9]+;", " ")
     declared = F.nullif(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), F.lit(""))
-    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").alias("doc_id"), F.xxhash64("url", "html").alias("h"), text.alias("text"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain"))
+    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").alias("doc_id"), F.xxhash64("url", "html").alias("h"), text.alias("text"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"))
     return identify(rows, langs, table).withColumnRenamed("doc_id", "page_id")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` less the documents that aren't accepted."""
     bad = stored(identify_documents(docs).where("not accepted").select("doc_id", "h").distinct(), "language-rejects")
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64(*[docs[c] for c in KEY]))
-    return without(keyed, bad.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), ["__id", "__h"]).drop("__id", "__h")
+    plain, key = positional(docs, *KEY)
+    keyed = plain.withColumns({"k0": key[0], "k1": F.xxhash64(*key)})
+    return less_rows(keyed, bad).select(*plain.columns).toDF(*docs.columns)
