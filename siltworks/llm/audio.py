@@ -11,8 +11,8 @@ type and shape, and ``as_tensors`` gives collected or read tables the true ``arr
 
 Defined cases: null bytes, bytes that aren't such a clip, and clips without a sample or with a rate outside 100 to
 768,000 Hz give one row with null features and ``ok`` false; a clip shorter than a frame is padded with silence to one;
-frames past the end hold the floor value; repeated rows give equal rows; an empty table gives no rows; extra columns
-don't matter.
+frames past the end hold the floor value; repeated rows give equal rows; long clips are taken whole, and give as many
+chunks as they need; an empty table gives no rows; extra columns don't matter; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -166,6 +166,20 @@ def features(raw: bytes | None) -> list[tuple[int, float, float, int, np.ndarray
     return out
 
 
+def _chunks(column: pa.Array, most: int = 512):
+    """(clip numbers, chunks) of at most ``most`` chunks each."""
+    at, rows = [], []
+    for i, raw in enumerate(column):
+        for r in features(raw.as_py()) or [(None,) * 6]:
+            at.append(i)
+            rows.append(r)
+            if len(rows) == most:
+                yield at, rows
+                at, rows = [], []
+    if rows:
+        yield at, rows
+
+
 _SEGMENT = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 METADATA = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": list(SHAPE)})}
 
@@ -176,13 +190,9 @@ def extract(media: DataFrame, id_column: str = "media_id", audio_column: str = "
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                at, rows = [], []
-                for i, raw in enumerate(part.column("audio")):
-                    for r in features(raw.as_py()) or [(None,) * 6]:
-                        at.append(i)
-                        rows.append(r)
+            # a clip's chunks may go out in several batches, so that offsets and memory stay bounded however long it is
+            for at, rows in _chunks(batch.column("audio")):
+                part = batch
                 chunk, start, end, frames, tensor, spans = zip(*rows) if rows else ((),) * 6
                 flat = [t for t in tensor if t is not None]
                 sizes = np.cumsum([0, *[0 if t is None else t.size for t in tensor]]).astype(np.int32)

@@ -10,8 +10,9 @@ a second sweep the state before every code point. State and class tell whether a
 Slices between starts go through a cache to pair merging, so each distinct slice is merged once in a worker (the cache
 is emptied when full, which changes no result). Byte offsets of all tokens are kept: they give any token range's bytes.
 
-Defined cases: null text gives null ids and offsets, empty text empty ones; repeated rows and extra columns don't matter;
-texts are never cut, and a batch's texts never touch each other.
+Defined cases: null text gives null ids and offsets, empty text empty ones; repeated rows and extra columns don't matter; a piece
+with several merges of one rank joins the leftmost; very long texts are never cut, and a batch's texts never touch each other;
+an empty table gives no rows; ids may be of any type, and their column of any name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import array
 import base64
 import heapq
+import os
 import sys
 import unicodedata
 
@@ -26,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, portions, utf8
+from .common import kind_of, pick, portions, utf8
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the vocabulary file lies, unless a path is passed on.
+VOCABULARY = os.environ.get("SILTWORKS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CACHE = 400_000
 BLOCK = 64
 
@@ -284,8 +287,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_column: str = "doc_id", t
     def run(batches):
         encoder, decoder = _worker(path, shared)
         for batch in batches:
-            for part in portions(batch, text_column, 1 << 20):
-                text = part.column(text_column)
+            for part in portions(batch, "text", 1 << 20):
+                text = part.column("text")
                 nulls = text.is_null().to_numpy(zero_copy_only=False)
                 data, at = utf8(text)
                 ids, offsets, head = encoder.encode(data, at)
@@ -296,10 +299,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_column: str = "doc_id", t
                     exact = np.ones(len(text), bool)
                 else:
                     exact = np.array([back[size[i] : size[i + 1]].tobytes() == data[at[i] : at[i + 1]].tobytes() for i in range(len(text))])
-                yield pa.RecordBatch.from_arrays([part.column(id_column), _lists(ids, head, nulls), _lists(offsets, head, nulls), pa.array(exact, mask=nulls)], [id_column, "ids", "offsets", "exact"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(ids, head, nulls), _lists(offsets, head, nulls), pa.array(exact, mask=nulls)], ["id", "ids", "offsets", "exact"])
 
-    light = pick(docs, id_column, text_column)
-    return light.mapInArrow(run, f"{id_column} {light.schema[id_column].dataType.simpleString()}, ids array<int>, offsets array<int>, exact boolean")
+    light = pick(docs, id_column, text_column).toDF("id", "text")
+    return light.mapInArrow(run, f"id {kind_of(light, 'id')}, ids array<int>, offsets array<int>, exact boolean").withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, id_column: str = "doc_id") -> DataFrame:
@@ -313,7 +316,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, id_column: str = "doc_id"
             texts = []
             for x in lists:
                 texts.append(None if not x.is_valid else decoder.decode(x.values.to_numpy(zero_copy_only=False)).tobytes().decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(texts, pa.string())], [id_column, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-    light = pick(encoded, id_column, "ids")
-    return light.mapInArrow(run, f"{id_column} {light.schema[id_column].dataType.simpleString()}, text string")
+    light = pick(encoded, id_column, "ids").toDF("id", "ids")
+    return light.mapInArrow(run, f"id {kind_of(light, 'id')}, text string").withColumnRenamed("id", id_column)

@@ -109,7 +109,7 @@ _TEXT = r"""
 9 | polyform-shield-1.0.0 | polyform | polyform shield license 1\.0\.0
 9 | json | shall be used for good | the software shall be used for good, not evil
 9 | proprietary | unauthorized copying | unauthorized copying of this (?:file|document|work|software),? via any medium,? is strictly prohibited
-9 | proprietary | be reproduced | (?:no part of this \w+|this (?:document|publication|work)) may not? be reproduced.{0,60}? without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
+9 | proprietary | be reproduced | (?:no part of this \w+|this (?:document|publication|work)) may (?:not )?be reproduced.{0,60}? without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
 9 | public-domain | public domain | (?:this (?:work|file|text) is |has been )?(?:released|placed|dedicated) (?:in|into|to) the public domain
 9 | crown-copyright | open government licence | contains public sector information licensed under the open government licence(?: v3\.0)?
 9 | ogl-uk-3.0 | open government licence | licensed under the open government licence v(?:ersion )?3\.0

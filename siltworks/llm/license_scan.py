@@ -5,9 +5,11 @@ run, over the whole text. Detections are then taken by priority, length, place a
 interval lies within that of a taken one, or overlaps that of a taken one of higher priority; others stay, so that
 several licences in a text, and the same one in several places, are all reported.
 
+A tag that names its licence by an SPDX expression is reported as that expression, in lower case.
+
 Defined cases: null and empty texts have no detections; repeated rows report alike; equal intervals of equal priority
-go to the earlier rule; places are those in the lower-cased text (equal to the text's own but for the few signs
-whose lower case is longer); extra columns don't matter.
+go to the earlier rule; places are those of the text itself (a sign whose lower case is longer than one sign is left as it is);
+very long texts are scanned whole; an empty table gives no rows; extra columns don't matter; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import kind_of, pick
 from .license_rules import RULES
 
 
@@ -40,6 +42,17 @@ def resolve(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return sorted(taken, key=lambda f: (f[2], f[3], f[1]))
 
 
+def lowered(text: str) -> str:
+    """Lower case, sign by sign, so that places are kept."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def named(licence: str, matched: str) -> str:
+    """What a detection is reported as: its rule's licence, or the expression that a tag holds."""
+    return " ".join(matched.lower().split(":", 1)[1].strip(" \t\r\n()").split()) if licence == "spdx-tag" else licence
+
+
 class Scanner:
     def __init__(self, rules=RULES):
         import ahocorasick
@@ -59,7 +72,7 @@ class Scanner:
         self.machine.make_automaton()
 
     def scan(self, text: str) -> list[tuple[int, int, int, int]]:
-        low = text.lower()
+        low = lowered(text)
         heads = {id(e): e for _, e in self.machine.iter(low)}
         if not heads:
             return []
@@ -80,18 +93,18 @@ def _run(batches):
         _SCANNER = Scanner()
     names = [r[2] for r in _SCANNER.rules]
     for batch in batches:
-        ids, rows = batch.column(0), ([], [], [], [], [])
+        ids, rows = batch.column(0), ([], [], [], [], [], [])
         for i, text in enumerate(batch.column("text")):
             value = text.as_py()
             if value:
                 for _, n, a, b in _SCANNER.scan(value):
-                    for column, x in zip(rows, (i, n, a, b, value[a:b])):
+                    for column, x in zip(rows, (i, n, a, b, value[a:b], named(names[n], value[a:b]))):
                         column.append(x)
-        at, rule, start, end, part = rows
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([names[n] for n in rule], pa.string()), pa.array(rule, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(part, pa.string())], ["doc_id", "license", "rule", "start", "end", "matched"])
+        at, rule, start, end, part, licence = rows
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(licence, pa.string()), pa.array(rule, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(part, pa.string())], ["doc_id", "license", "rule", "start", "end", "matched"])
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, license, rule, start, end, matched): every detection that stays."""
     light = pick(docs, "doc_id", "text")
-    return light.mapInArrow(_run, f"doc_id {light.schema['doc_id'].dataType.simpleString()}, license string, rule int, start int, end int, matched string")
+    return light.mapInArrow(_run, f"doc_id {kind_of(light, 'doc_id')}, license string, rule int, start int, end int, matched string")

@@ -7,9 +7,13 @@ host and leading path segments) are looked up for every address in the graph by
 prefixes, so a rule table may be large. A block on any alias blocks all of them; an explicit allow on any alias takes
 precedence over every block.
 
-Defined cases: a null address has no alias and is "unlisted"; null and malformed html has no links; links that aren't
-http(s) or relative to the root are ignored; repeated rows get equal results; an empty table gives no rows; several rules
-at once: allow wins; extra columns don't matter. ``alias_of`` is the component's least address, in binary order.
+Every canonical link and refresh of a page counts; ``&amp;`` in them is decoded, and what isn't an address is resolved against
+the page's own.
+
+Defined cases: a null address has no alias and is "unlisted"; null and malformed html has no links; links to another scheme than
+http(s), and into the page itself, are ignored; repeated rows get equal results; very long html is read whole; an empty table
+gives no rows; several rules at once: allow wins; extra columns don't matter, and pass through the filter, whatever their
+names; ids may be of any type. ``alias_of`` is the component's least address, in binary order.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small, stored
+from .common import pick, positional, small, stored
 from .components import connected_components
 
 #: (action, host or host/path)
@@ -27,6 +31,8 @@ _REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+_AMPERSAND = r"&(?:amp|#38|#[xX]26);"
 #: Applied in turn to make the plain form.
 PLAIN = [
     (r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?", ""),
@@ -55,11 +61,18 @@ def plain(url: Column) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst) of canonical links and meta refreshes of pages (url, html)."""
     light = pick(pages, "url", "html").where("url is not null and html is not null")
-    found = F.array(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1))
-    light = light.select(F.col("url").alias("src"), F.explode(found).alias("to")).where("to != ''")
-    origin = F.regexp_extract("src", _ORIGIN, 1)
-    to = F.col("to")
-    full = F.when(to.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]"), to).when(to.startswith("//"), F.concat(F.regexp_extract("src", r"^([A-Za-z]+:)", 1), to)).when(to.startswith("/"), F.concat(origin, to))
+    tags = lambda outer, inner: F.transform(F.regexp_extract_all("html", F.lit(outer), F.lit(0)), lambda t: F.regexp_extract(t, inner, 1))
+    light = light.select(F.col("url").cast("string").alias("src"), F.explode(F.array_distinct(F.concat(tags(_CANONICAL, _HREF), tags(_REFRESH, _TARGET)))).alias("to"))
+    light = light.withColumn("to", F.regexp_replace("to", _AMPERSAND, "&")).where(F.col("to").rlike(r"^[^#]"))
+    src, to = F.col("src"), F.col("to")
+    path, query = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(src, _PATH, 1)
+    whole = F.when(path == "", own).when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(F.when(own == "", "/").otherwise(own), r"[^/]*$", ""), path))
+    steps = F.split(whole, "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    clean = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.lit(""), step)
+    full = F.when(to.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]"), to).when(to.startswith("//"), F.concat(F.regexp_extract(src, r"^([A-Za-z]+:)", 1), to))
+    full = full.when(~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & src.rlike(_ORIGIN), F.concat(F.regexp_extract(src, _ORIGIN, 1), clean, query))
     return light.select("src", full.alias("dst")).where("dst is not null")
 
 
@@ -99,15 +112,16 @@ def decide(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFram
     full = nodes.join(roots, "node", "left").join(hit, "node", "left").select("node", "url", F.coalesce("root", "node").alias("root"), "allow", "block")
     classes = full.groupBy("root").agg(F.min("url").alias("alias_of"), F.bool_or(F.coalesce("allow", F.lit(False))).alias("allow"), F.bool_or(F.coalesce("block", F.lit(False))).alias("block"))
     decision = F.when(F.col("allow"), "allowed").when(F.col("block"), "blocked").otherwise("unlisted")
-    known = full.select(F.col("url").alias("__url"), "root").join(classes, "root").select("__url", "alias_of", decision.alias("decision"))
+    known = full.select(F.col("url").alias("known_url"), "root").join(classes, "root").select("known_url", "alias_of", decision.alias("decision"))
     rows = pick(pages, "page_id", "url").withColumn("url", F.col("url").cast("string"))
-    return rows.join(known, rows["url"] == known["__url"], "left").select("page_id", "url", "alias_of", F.coalesce("decision", F.lit("unlisted")).alias("decision"))
+    return rows.join(known, rows["url"] == known["known_url"], "left").select("page_id", "url", "alias_of", F.coalesce("decision", F.lit("unlisted")).alias("decision"))
 
 
 def kept(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """``pages`` less those whose address is blocked."""
-    bad = stored(decide(pages, rules, redirects).where("decision = 'blocked'").select(F.col("url").alias("__url")).distinct(), "url-blocked")
-    return pages.join(small(bad), pages["url"].cast("string") == F.col("__url"), "left_anti")
+    bad = stored(decide(pages, rules, redirects).where("decision = 'blocked'").select(F.col("url").alias("bad")).distinct(), "url-blocked")
+    plain_pages, (url,) = positional(pages, "url")
+    return plain_pages.join(small(bad), url.cast("string") == F.col("bad"), "left_anti").toDF(*pages.columns)
 
 
 def oracle() -> str:
@@ -119,11 +133,15 @@ def oracle() -> str:
     q = lambda p: p.replace("'", "''")
     return f"""
 WITH RECURSIVE raw AS (
-  SELECT url AS src, unnest([regexp_extract(regexp_extract(html, '{q(_CANONICAL)}'), '{q(_HREF)}', 1), regexp_extract(regexp_extract(html, '{q(_REFRESH)}'), '{q(_TARGET)}', 1)]) AS t
+  SELECT url AS src, regexp_replace(unnest(list_distinct(list_concat(list_transform(regexp_extract_all(html, '{q(_CANONICAL)}'), lambda t: regexp_extract(t, '{q(_HREF)}', 1)),
+    list_transform(regexp_extract_all(html, '{q(_REFRESH)}'), lambda t: regexp_extract(t, '{q(_TARGET)}', 1))))), '{_AMPERSAND}', '&', 'g') AS t
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+parts AS (SELECT src, t, regexp_extract(t, '^([^?#]*)', 1) AS path, regexp_extract(t, '^[^?#]*(.*)$', 1) AS query, regexp_extract(src, '{_PATH}', 1) AS own FROM raw WHERE regexp_matches(t, '^[^#]')),
+steps AS (SELECT *, string_split(CASE WHEN path = '' THEN own WHEN starts_with(path, '/') THEN path ELSE regexp_replace(CASE WHEN own = '' THEN '/' ELSE own END, '[^/]*$', '') || path END, '/') AS s FROM parts),
 links AS (
   SELECT DISTINCT src, CASE WHEN regexp_matches(t, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '^([A-Za-z]+:)', 1) || t
-    WHEN starts_with(t, '/') THEN regexp_extract(src, '{_ORIGIN}', 1) || t END AS dst FROM raw WHERE t <> ''),
+    WHEN NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') AND regexp_matches(src, '{_ORIGIN}') THEN regexp_extract(src, '{_ORIGIN}', 1)
+      || CASE WHEN len(s) < 2 THEN '' ELSE list_reduce(list_concat([''], s[2:]), lambda d, x: CASE x WHEN '..' THEN regexp_replace(d, '/[^/]*$', '') WHEN '.' THEN d ELSE d || '/' || x END) END || query END AS dst FROM steps),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT src FROM links WHERE dst IS NOT NULL UNION SELECT dst FROM links WHERE dst IS NOT NULL),
 stripped AS (SELECT url, {x} AS x FROM urls),
 named AS (
