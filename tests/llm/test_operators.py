@@ -404,31 +404,54 @@ def test_license_scan(spark, messy):
         assert scanner.scan(t) == brute(t)
 
 
-def vectors(spark, n=3000, dim=16, seed=3):
-    rng = np.random.default_rng(seed)
+@pytest.mark.parametrize(("n", "dim", "noise"), [(3000, 16, 0.25), (3000, 16, 0.45), (20_000, 64, 0.47)])
+def test_vector_dedup_against_brute_force(spark, n, dim, noise):
+    """Recall of 0.9 over planted pairs, those about the threshold too, and nothing below the threshold."""
+    rng = np.random.default_rng(3)
     x = rng.normal(size=(n, dim))
     for k in range(n // 10):
-        x[n - 1 - k] = x[k] / np.linalg.norm(x[k]) + rng.normal(size=dim) * 0.25 / math.sqrt(dim)
-    return x
-
-
-def test_vector_dedup_against_brute_force(spark):
-    x = vectors(spark)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x[n - 1 - k] = x[k] / np.linalg.norm(x[k]) + rng.normal(size=dim) * noise / math.sqrt(dim)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    y = x.astype(np.float32).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
     groups = vector_dedup.Groups(len(x))
-    groups.join(*np.nonzero(np.triu(y @ y.T >= vector_dedup.THRESHOLD, 1)))
+    for lo in range(0, n, 2000):
+        a, b = np.nonzero(y[lo : lo + 2000] @ y.T >= vector_dedup.THRESHOLD)
+        groups.join(lo + a, b)
     want = {(i, int(groups.label[i])) for i in range(len(x)) if groups.label[i] != i}
     got = {(r["vec_id"], r["dup_of"]) for r in vector_dedup.duplicates(df).collect()}
-    assert len(got & want) >= 0.9 * len(want) and len(want) > 200
+    assert len(got & want) >= 0.9 * len(want) and len(want) > 100
     assert {a for a, _ in got} <= {a for a, _ in want}
 
 
+def test_vectors_in_bytes_settle_or_leave_open():
+    """Pairs called sure reach the threshold, and no pair that reaches it is dropped."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.88, 0.92, (150, 1))
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * side]).astype(np.float32)
+    q, scale, error = vector_dedup.in_bytes(x)
+    u, v, a, b = vector_dedup.cell_pairs(q.astype(np.float32) * scale[:, None], error, np.ones(300, bool), 0.9)
+    true = x.astype(float) @ x.T.astype(float) >= 0.9
+    assert 20 < len(a) and 20 < len(u) and len({*map(tuple, np.sort(np.stack([a, b]), axis=0).T)}) < 140
+    got, want = vector_dedup.Groups(300), vector_dedup.Groups(300)
+    exact = true[a, b]
+    got.join(np.concatenate([u, a[exact]]), np.concatenate([v, b[exact]]))
+    want.join(*np.nonzero(true))
+    assert (got.label == want.label).all()
+
+
 def test_vector_dedup_edges(spark):
-    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0, 0.0]), (4, None), (5, [1.0, 2.0]), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [0.0, 1.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (8, [None, 1.0, 1.0, 1.0])]
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0, 0.0]), (4, None), (5, [1.0, 2.0]), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [0.0, 1.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (8, [None, 1.0, 1.0, 1.0]), (9, [2.0, 4.0]), (10, []), (11, [3.0]), (12, [5.0]), (13, [-1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "cell", "node", "home")})
     got = {(r["vec_id"], r["dup_of"]) for r in vector_dedup.duplicates(df).collect()}
-    assert got == {(2, 1), (None, 1)}
+    assert got == {(2, 1), (None, 1), (9, 5), (12, 11)}
+    named = vector_dedup.duplicates(df.withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id")))).collect()
+    assert {(r["vec_id"], r["dup_of"]) for r in named} == {("v2", "v1"), (None, "v1"), ("v9", "v5"), ("v12", "v11")}
     assert vector_dedup.duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
