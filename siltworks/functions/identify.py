@@ -10,6 +10,7 @@ import zipfile
 from pathlib import PurePosixPath
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,18 +138,12 @@ def identify(payload: bytes, name: str) -> Kind:
     return Kind("application/octet-stream", "other", PurePosixPath(name).suffix or ".bin", "unknown")
 
 
-def magic_of(payload: Column) -> Column:
-    """struct(group, extension, method) of binary values by magic numbers alone, without Python; null where none fits."""
-    x = F.lit(None).cast("struct<group:string,extension:string,method:string>")
-    made = lambda g, e: F.struct(F.lit(g).alias("group"), F.lit(e).alias("extension"), F.lit("signature").alias("method"))
-    rows = [(0, b"Rar!\x1a\x07", "archives/unprocessed", ".rar"), (0, b"7z\xbc\xaf\x27\x1c", "other", ".7z"), *[(a, m, g, e) for a, m, _, g, e in MAGIC], (4, b"ftyp", "video", ".mp4"), (8, b"WAVE", "audio", ".wav")]
-    for at, mark, group, ext in reversed(rows):
-        x = F.when(F.substring(payload, at + 1, len(mark)) == F.lit(bytearray(mark)), made(group, ext)).otherwise(x)
-    return x
+def kind_of(payload: Column, name: Column) -> Column:
+    """``identify`` of binary values and their names, as a struct."""
 
+    @F.pandas_udf("struct<media_type:string,group:string,extension:string,method:string,container:string,reason:string>")
+    def run(payloads: pd.Series, names: pd.Series) -> pd.DataFrame:
+        found = [identify(p or b"", n)[:6] for p, n in zip(payloads, names)]
+        return pd.DataFrame(found, columns=["media_type", "group", "extension", "method", "container", "reason"], dtype=object)
 
-def extension_of(name: Column) -> Column:
-    """struct(group, extension) by a name's suffix, from a map literal; null where the table has none."""
-    table = F.create_map(*[F.lit(v) for k, (_, g, e) in EXTENSIONS.items() for v in (k, f"{g}|{e}")])
-    hit = F.try_element_at(table, F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1)))
-    return F.when(hit.isNotNull(), F.struct(F.substring_index(hit, "|", 1).alias("group"), F.substring_index(hit, "|", -1).alias("extension")))
+    return run(payload, name)

@@ -158,9 +158,29 @@ def safe_name_of(c: Column, fallback: str = "unnamed") -> Column:
 
 
 def unsafe_path_of(c: Column) -> Column:
-    """``is_unsafe`` as an expression."""
-    parts = F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/")
-    return c.contains("\0") | c.rlike(r"^(?:[/\\]|[A-Za-z]:)") | F.exists(parts, lambda p: (p == "..") | p.contains(":"))
+    return _udf(is_unsafe, "boolean")(c)
+
+
+def canonical_name_of(name: Column, extension: Column) -> Column:
+    """``canonical_name`` as a struct."""
+
+    @F.pandas_udf("struct<name:string,reasons:array<string>>")
+    def run(names: pd.Series, extensions: pd.Series) -> pd.DataFrame:
+        done = [canonical_name(n, e) for n, e in zip(names, extensions)]
+        return pd.DataFrame({"name": [d[0] for d in done], "reasons": [d[1] for d in done]})
+
+    return run(name, extension)
+
+
+def identity_of(source_path: Column, ancestry: Column, name: Column) -> Column:
+    """struct(sort_key, sort_key_json, occurrence_id) of leaves."""
+
+    @F.pandas_udf("struct<sort_key:array<string>,sort_key_json:string,occurrence_id:string>")
+    def run(paths: pd.Series, steps: pd.Series, names: pd.Series) -> pd.DataFrame:
+        keys = [sort_key(p, a, n) for p, a, n in zip(paths, steps, names)]
+        return pd.DataFrame({"sort_key": keys, "sort_key_json": [compact(k) for k in keys], "occurrence_id": [stable_id("occurrence", *k) for k in keys]})
+
+    return run(source_path, ancestry, name)
 
 
 def numbered_of(name: Column, n: Column) -> Column:
@@ -170,10 +190,6 @@ def numbered_of(name: Column, n: Column) -> Column:
     return F.when(n > 0, F.concat(stem, F.lit("_"), n.cast("string"), tail)).otherwise(name)
 
 
-def stable_id_of(prefix: str, json_text: Column) -> Column:
-    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(json_text, 256), 1, 24))
-
-
 def bounded_path_of(parts: Column, protected: Column) -> Column:
     """``bounded_path`` of arrays of components."""
 

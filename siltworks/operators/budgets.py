@@ -3,27 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .policy import Policy
 
 
-def declared_reason(size: Column, packed: Column | None, policy: Policy) -> Column:
-    """Why a declared member is refused; null if it isn't."""
-    why = F.when(size > policy.max_member_bytes, "member_size_limit")
-    if packed is not None:
-        why = why.when((size > 0) & packed.isNotNull() & (size / F.greatest(packed, F.lit(1)) > policy.max_expansion_ratio), "expansion_ratio_limit")
-    return why
-
-
-def effective_bound(bounds: list[tuple[Column, str]]) -> tuple[Column, Column]:
-    """The least bound and its reason; on a tie the first named decides."""
-    least = F.least(*[b for b, _ in bounds]) if len(bounds) > 1 else bounds[0][0]
-    why = F.lit(None).cast("string")
-    for b, reason in reversed(bounds):
-        why = F.when(b == least, reason).otherwise(why)
-    return least, why
+#: Failed containers that are looked up in a set.
+FEW = 1000
 
 
 def running_total(rows: DataFrame, size: str, order: list[str], parts: int = 256) -> DataFrame:
@@ -33,8 +21,6 @@ def running_total(rows: DataFrame, size: str, order: list[str], parts: int = 256
     a table of ``parts`` rows. No task sees all rows.
     """
     ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    from ..storage import written
-
     ranged = written(ranged, "running")
     sums = ranged.groupBy("__part").agg(F.sum(size).alias("__sum"))
     before = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"))
@@ -59,6 +45,10 @@ def over_budget(rollup: DataFrame, containers: DataFrame, policy: Policy) -> Dat
 
 def surviving(rows: DataFrame, failed: DataFrame, parents: str = "parents") -> DataFrame:
     """``rows`` with no failed container above them; failed: (container_id)."""
+    few = failed.select("container_id").distinct().limit(FEW + 1).collect()
+    if len(few) <= FEW:  # looked up in a set, without a shuffle
+        names = [r["container_id"] for r in few]
+        return rows.where(~F.exists(parents, lambda p: p.isin(names))) if names else rows
     f = failed.select(F.col("container_id").alias("__f")).distinct()
     keyed = rows.withColumn("__row", F.xxhash64(*[F.to_json(F.struct(F.col(c))) if c == parents else F.col(c).cast("string") for c in rows.columns if c in (parents, "visit")]))
     hit = keyed.select("__row", F.explode(parents).alias("__p")).join(f, F.col("__p") == F.col("__f"), "left_semi").select("__row").distinct()
@@ -68,8 +58,9 @@ def surviving(rows: DataFrame, failed: DataFrame, parents: str = "parents") -> D
 def run_limits(events: DataFrame, policy: Policy) -> DataFrame:
     """(container_id, visit, reason) of what the run's limits refuse. events: (visit, step, container_id, parents, members, bytes).
 
-    Charges are made in visit order, a refused container's subtree isn't visited, and nothing is given back. That is sequential
-    by nature, so it is done, over light rows in one task, only if all charges together exceed a limit.
+    Charges are made in visit order, a refused container's subtree isn't visited, and nothing is given back. Up to the first refusal
+    that is a running sum, which no task does alone; from there on it is sequential by nature, and done over light rows in one
+    task.
     """
     spark = events.sparkSession
     schema = "container_id string, visit array<long>, reason string"
@@ -77,9 +68,16 @@ def run_limits(events: DataFrame, policy: Policy) -> DataFrame:
     if (total["m"] or 0) <= policy.max_members_run and (total["b"] or 0) <= policy.max_run_bytes:
         return spark.createDataFrame([], schema)
     most, room = policy.max_members_run, policy.max_run_bytes
+    order = ["visit", "step"]
+    summed = running_total(running_total(events, "members", order).withColumnRenamed("running", "all_members"), "bytes", order)
+    summed = written(summed.withColumn("at", F.struct(*order)), "charged")
+    first = summed.where((F.col("all_members") > most) | (F.col("running") > room)).agg(F.min("at").alias("at"))
+    marked = summed.join(F.broadcast(first.withColumnRenamed("at", "first")))
+    before = marked.where(F.col("at") < F.col("first")).agg(F.sum("members").alias("m"), F.sum("bytes").alias("b")).first()
+    spent = (before["m"] or 0, before["b"] or 0)
 
     def charge(rows: pd.DataFrame) -> pd.DataFrame:
-        n = b = 0
+        n, b = spent
         dead: set[str] = set()
         out = []
         rows = rows.assign(k=[(tuple(v), s) for v, s in zip(rows["visit"], rows["step"])]).sort_values("k")
@@ -96,4 +94,5 @@ def run_limits(events: DataFrame, policy: Policy) -> DataFrame:
                 n, b = n + r.members, b + r.bytes
         return pd.DataFrame(out, columns=["container_id", "visit", "reason"])
 
-    return events.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(charge, schema)
+    tail = marked.where(F.col("at") >= F.col("first")).select(*events.columns)
+    return tail.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(charge, schema)

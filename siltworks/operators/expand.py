@@ -2,7 +2,9 @@
 
 A level reads its nodes, identifies each, and writes records (what the node is) and children (what it held) to the shared folder; the
 children are the next level. A lost executor costs tasks of one level. Limits that belong to one container are checked while it is
-read; those of a subtree and of the run are relational, after the last level, and take whole subtrees out again.
+read. Those of a subtree are applied before each level: what the next containers say they hold is added to what their ancestors
+already hold, a subtree that would be too large fails unread, and the others read no more than their ancestors have room for.
+What is left to judge, and the run's limits, are relational, after the last level, and take whole subtrees out again.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from ..storage import if_small, written
 from . import budgets
 from .policy import Policy
 
-_RECORD = f"{NODE}, row string, sort_key array<string>, sort_key_json string, occurrence_id string, container_id string, generated_name string, detection {DETECTION}, status string, digest string, size long, member_count long"
+_RECORD = f"{NODE}, row string, sort_key array<string>, sort_key_json string, occurrence_id string, container_id string, generated_name string, detection {DETECTION}, status string, digest string, size long, member_count long, may_expand boolean, blamed string"
 _FAILED_GROUP = "archives/unprocessed"
 
 
@@ -59,7 +61,7 @@ def _kind_of(node: dict, raw: bytes) -> Kind:
 def _children(node: dict, kind: Kind, cid: str, digest: str, policy: Policy):
     """Child nodes of a container; raises ``archives.Failed``."""
     raw, here = node["payload"], node["ancestry"]
-    base = {"parents": [*node["parents"], cid], "digests": [*node["digests"], digest], "source_path": node["source_path"]}
+    base = {"room": None, "room_owner": None, "parents": [*node["parents"], cid], "digests": [*node["digests"], digest], "source_path": node["source_path"]}
     if kind.container in ("mbox", "message"):
         leaves = mail.mbox_leaves(raw, here) if kind.container == "mbox" else mail.message_leaves(raw, [*here, {"kind": "message", "identifier": "message-000001", "original_name": node["name"]}])
         out = []
@@ -71,7 +73,7 @@ def _children(node: dict, kind: Kind, cid: str, digest: str, policy: Policy):
             out.append(base | leaf | {"visit": [*node["visit"], k], "mail_leaf": True, "metadata": dict(node["metadata"] or {}) | leaf["metadata"], "diagnostics": [*(node["diagnostics"] or []), *leaf["diagnostics"]], "depth": sum(a["kind"] in ("archive", "message") for a in leaf["ancestry"])})
         return out
     out = []
-    for k, m in enumerate(archives.members(kind.container, raw, policy)):
+    for k, m in enumerate(archives.members(kind.container, raw, policy, node["room"], node["room_owner"])):
         path = PurePosixPath(m.name.replace("\\", "/"))
         up = [*here, {"kind": "archive", "identifier": node["name"], "original_name": node["name"]}]
         up += [{"kind": "archive_path", "identifier": p, "original_name": p} for p in path.parent.parts if p not in ("", ".")]
@@ -81,6 +83,20 @@ def _children(node: dict, kind: Kind, cid: str, digest: str, policy: Policy):
     return out
 
 
+def leaf_status(kind: Kind, policy: Policy) -> tuple[str, str | None]:
+    """Status and reason of what isn't a container."""
+    if kind.reason is not None:
+        return "unprocessed", kind.reason
+    return ("skipped", "policy_non_pdf") if policy.pdf_only and kind.group != "pdf" else ("eligible", None)
+
+
+def refusal(depth: int, digest: str, above: list[str], policy: Policy, free: bool = False) -> str | None:
+    """Why a container isn't opened, before anything of it is read."""
+    if not free and depth >= policy.max_depth:
+        return "depth_limit"
+    return "cycle" if digest in above else None
+
+
 def _examine(node: dict, policy: Policy):
     """Records and children of one node."""
     raw = node["payload"]
@@ -100,26 +116,20 @@ def _examine(node: dict, policy: Policy):
     known = {"digest": digest, "size": len(raw)}
     kind = _kind_of(node, raw)
     if kind.container is None:
-        if kind.reason is not None:
-            yield _describe(node, kind, "unprocessed", kind.reason) | known
-        elif policy.pdf_only and kind.group != "pdf":
-            yield _describe(node, kind, "skipped", "policy_non_pdf") | known
-        else:
-            yield _describe(node, kind, "eligible", None) | known
+        yield _describe(node, kind, *leaf_status(kind, policy)) | known
         return
     key = sort_key(node["source_path"], node["ancestry"], node["name"])
     cid = stable_id("container", *key, digest)
     # a mailbox at the top is the source itself: it has no record, no limits and no place among its leaves' ancestors
     top_mbox = kind.container == "mbox" and not node["parents"] and node["depth"] == 0
     try:
-        if not top_mbox and node["depth"] >= policy.max_depth:
-            raise archives.Failed("depth_limit")
-        if digest in node["digests"]:
-            raise archives.Failed("cycle")
+        why = refusal(node["depth"], digest, node["digests"], policy, top_mbox)
+        if why is not None:
+            raise archives.Failed(why)
         found = _children(node, kind, cid, digest, policy)
     except archives.Failed as e:
         bare = node | {"metadata": {}, "diagnostics": []}
-        yield _describe(bare, kind._replace(group=_FAILED_GROUP, reason=e.reason), "unprocessed", e.reason) | known | {"row": "failed", "container_id": cid}
+        yield _describe(bare, kind._replace(group=_FAILED_GROUP, reason=e.reason), "unprocessed", e.reason) | known | {"row": "failed", "container_id": cid, "blamed": e.owner}
         return
     if top_mbox:
         found = [c | {"parents": [], "digests": []} for c in found]
@@ -127,7 +137,8 @@ def _examine(node: dict, policy: Policy):
         # as it would be recorded if a limit took it out again
         yield _describe(node | {"metadata": {}, "diagnostics": []}, kind._replace(group=_FAILED_GROUP), "unprocessed", None) | known | {"row": "container", "container_id": cid, "member_count": len(found)}
     for c in found:
-        yield c | {"row": "child", "metadata": list(c["metadata"].items())}
+        raw = c["payload"]
+        yield c | {"row": "child", "metadata": list(c["metadata"].items()), "size": None if raw is None else len(raw), "may_expand": raw is not None and archives.may_expand(raw, c["name"])}
 
 
 def _level(nodes: DataFrame, policy: Policy) -> DataFrame:
@@ -149,10 +160,37 @@ def _level(nodes: DataFrame, policy: Policy) -> DataFrame:
     return written(nodes.mapInArrow(run, _RECORD), "level")
 
 
+def _within_budgets(levels: list[DataFrame], level: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
+    """``level`` without the subtrees that would be too large, and with the room that is left to each archive; and what failed."""
+    seen = levels[0].where("row = 'child'").select("parents", "size")
+    for x in levels[1:]:
+        seen = seen.unionByName(x.where("row = 'child'").select("parents", "size"))
+    spent = written(budgets.container_rollup(seen).select("container_id", "expanded_bytes"), "spent")
+    packed = level.where("may_expand")
+
+    def expect(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                due = archives.declared_bytes(batch.column("payload")[i].as_py(), batch.column("name")[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("parents").slice(i, 1), pa.array([due])], ["parents", "due"])
+
+    due = packed.select("parents", "name", "payload").mapInArrow(expect, "parents array<string>, due long")
+    due = due.select(F.explode("parents").alias("c"), "due").groupBy("c").agg(F.sum("due").alias("due"))
+    over = spent.join(due, F.col("container_id") == F.col("c")).where(F.col("expanded_bytes") + F.col("due") > policy.max_container_bytes)
+    over = written(over.select("container_id", F.lit("container_size_limit").alias("reason")), "over")
+    if not over.isEmpty():
+        level = budgets.surviving(level, over)
+    left = packed.select("visit", F.explode("parents").alias("c")).join(if_small(spent), F.col("c") == F.col("container_id"))
+    left = left.groupBy("visit").agg(F.min(F.struct((F.lit(policy.max_container_bytes) - F.col("expanded_bytes")).alias("room"), F.col("c").alias("owner"))).alias("x"))
+    left = if_small(written(left.select(F.col("visit").alias("at"), "x.room", "x.owner"), "rooms"))
+    fields = [c for c in level.columns if c not in ("room", "room_owner")]
+    return level.select(*fields).join(left, F.col("visit") == F.col("at"), "left").select(*fields, "room", F.col("owner").alias("room_owner")), over
+
+
 def as_nodes(rows: DataFrame) -> DataFrame:
     """Level-0 nodes from (visit, name, source_path, payload), and ancestry and reason if there are such columns."""
     have = set(rows.columns)
-    fill = {"parents": "array()", "digests": "array()", "depth": "0", "ancestry": "array()", "metadata": "map()", "diagnostics": "array()", "atomic": "false", "mail_leaf": "false", "reason": "null"}
+    fill = {"parents": "array()", "digests": "array()", "depth": "0", "ancestry": "array()", "metadata": "map()", "diagnostics": "array()", "atomic": "false", "mail_leaf": "false", "reason": "null", "room": "null", "room_owner": "null"}
     fields = StructType.fromDDL(NODE).fields
     return rows.select(*[(F.col(f.name) if f.name in have else F.expr(fill[f.name])).cast(f.dataType).alias(f.name) for f in fields])
 
@@ -160,22 +198,31 @@ def as_nodes(rows: DataFrame) -> DataFrame:
 def recover(rows: DataFrame, policy: Policy = Policy(), source_root: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, containers, blobs) of everything found in ``rows`` (see ``as_nodes``)."""
     policy.validate()
-    level, levels = as_nodes(rows), []
+    level, levels, early, held = as_nodes(rows), [], None, 0
     while True:
         levels.append(_level(level, policy))
-        level = levels[-1].where("row = 'child'").select(*StructType.fromDDL(NODE).fieldNames())
-        if level.isEmpty():
+        found = levels[-1].where("row = 'child'")
+        sums = found.agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.sum(F.when(F.col("may_expand"), F.col("size"))).alias("packed")).first()
+        if not sums["n"]:
             break
+        held += sums["all"] or 0
+        level = found.select(*StructType.fromDDL(NODE).fieldNames(), "may_expand")
+        if sums["packed"] and held + sums["packed"] * policy.max_expansion_ratio > min(policy.max_container_bytes, policy.max_run_bytes):
+            level, over = _within_budgets(levels, level, policy)
+            early = over if early is None else early.unionByName(over)
+        level = level.drop("may_expand")
     all_rows = levels[0]
     for x in levels[1:]:
         all_rows = all_rows.unionByName(x)
-    light = all_rows.where("row != 'child'").drop("payload", "digests")
+    light = all_rows.where("row != 'child'").drop("payload", "digests", "room", "room_owner", "may_expand")
     record = written(light, "records")
     # every member and mail leaf charges its ancestors
     charged = record.where("size is not null").select("visit", "parents", "size")
     rollup = written(budgets.container_rollup(record.select("parents", "size")), "rollup")
     opened = record.where("row = 'container'")
     over = budgets.over_budget(rollup, opened.select("container_id", "parents"), policy)
+    blamed = record.where("blamed is not null").select(F.col("blamed").alias("container_id"), F.lit("container_size_limit").alias("reason"))
+    over = over.unionByName(blamed) if early is None else over.unionByName(blamed).unionByName(early)
     tops = charged.where("size(parents) = 0 ").select("visit", F.lit(0).alias("step"), F.lit(None).cast("string").alias("container_id"), "parents", F.lit(1).cast("long").alias("members"), F.col("size").alias("bytes"))
     leaves = record.where("size is not null and mail_leaf and size(parents) > 0").select("visit", F.lit(0).alias("step"), F.lit(None).cast("string").alias("container_id"), "parents", F.lit(1).cast("long").alias("members"), F.col("size").alias("bytes"))
     direct = record.where("size is not null and not mail_leaf and size(parents) > 0").groupBy(F.element_at("parents", -1).alias("container_id")).agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))

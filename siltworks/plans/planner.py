@@ -13,11 +13,6 @@ from ..storage import if_small, written
 ORDER = ("sort_key_json", "occurrence_id")
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """The global order of occurrences: the text of their sort keys in binary order."""
-    return rows.orderBy(*ORDER)
-
-
 def publishable(policy: Policy) -> Column:
     wanted = F.col("status").isin("eligible") if policy.pdf_only else F.col("status").isin("eligible", "unprocessed")
     return F.col("digest").isNotNull() & wanted
@@ -137,6 +132,3 @@ def differs(frozen: DataFrame, again: DataFrame) -> bool:
     """Whether a plan made anew has rows that the frozen one lacks, or lacks some."""
     a, b = (x.select(F.sha2(F.to_json(F.struct(*sorted(x.columns))), 256).alias("row")) for x in (frozen, again))
     return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
-
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import tempfile
 
 import pyarrow as pa
@@ -20,6 +21,34 @@ def _sha(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def _link(temporary: str, target: str) -> None:
+    """Give ``temporary`` the name ``target``, never over a file. Where links can't be made, the name is taken first and filled then."""
+    try:
+        os.link(temporary, target)
+        return
+    except FileExistsError:
+        raise
+    except OSError:
+        pass
+    handle = os.open(target, os.O_WRONLY | os.O_CREAT | os.O_EXCL)
+    try:
+        with os.fdopen(handle, "wb") as out, open(temporary, "rb") as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+            out.flush()
+            os.fsync(out.fileno())
+    except BaseException:
+        os.unlink(target)
+        raise
+
+
+def sweep(root: str) -> None:
+    """Remove what writers that were killed left under temporary names."""
+    for folder, _, names in os.walk(root):
+        for name in names:
+            if name.startswith(".part-"):
+                os.unlink(os.path.join(folder, name))
+
+
 def put(root: str, relative: str, payload: bytes, digest: str) -> str:
     """"written", "present" or "conflict"; safe to repeat, and for several writers at once."""
     target = os.path.join(root, *relative.split("/"))
@@ -35,8 +64,8 @@ def put(root: str, relative: str, payload: bytes, digest: str) -> str:
         if _sha(temporary) != digest:
             return "conflict"
         try:
-            os.link(temporary, target)  # fails if another writer was first
-        except FileExistsError:
+            _link(temporary, target)
+        except FileExistsError:  # another writer was first
             return "present" if _sha(target) == digest else "conflict"
         return "written"
     finally:

@@ -7,12 +7,13 @@ import os
 import tempfile
 from dataclasses import asdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.policy import Policy
 from ..schema import Outcome
-from .planner import in_order
+from .planner import ORDER
 
 TOOL = "siltworks"
 
@@ -34,20 +35,38 @@ def accounting(plan: DataFrame, containers: DataFrame) -> tuple[int, int]:
     return a["n"] + b["n"], a["b"] or 0
 
 
-def _record(row) -> dict:
-    out = row.asDict(recursive=True)
-    out.pop("sort_key_json", None)
-    out.pop("depth", None)
-    return out
+def dump(value: dict) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"))
+
+
+def records(rows: DataFrame, kind: str | None, order: tuple[str, ...] = (), hidden: tuple[str, ...] = ("sort_key_json", "depth")) -> DataFrame:
+    """``rows`` with only ``order`` and ``line``, the manifest line of each, made where the rows are."""
+    names = [c for c in rows.columns if c not in hidden]
+    arrow = pa.schema([*[(c, pa.string()) for c in order], ("line", pa.string())])
+    packed = rows.select(*[F.col(c).cast("string").alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
+
+    def run(batches):
+        head = {} if kind is None else {"record_type": kind}
+        for batch in batches:
+            columns = [batch.column(f"v{i}").to_pylist(maps_as_pydicts="strict") for i in range(len(names))]
+            lines = [dump(head | dict(zip(names, values))) for values in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f"o{i}") for i in range(len(order))], pa.array(lines, pa.string())], schema=arrow)
+
+    return packed.mapInArrow(run, ", ".join([*[f"`{c}` string" for c in order], "line string"]))
 
 
 def lines(plan: DataFrame, containers: DataFrame, policy: Policy, source: dict[str, str]):
-    """Manifest lines: the run, containers, occurrences, each with sorted keys. Streamed, never all in memory."""
-    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    """Manifest lines: the run, containers, occurrences, each with sorted keys. Made and sorted by the executors, and streamed."""
     yield dump({"record_type": "run", "schema_version": 1, "tool": TOOL, "source": source, "policy": asdict(policy)})
-    for kind, rows in (("container", containers.orderBy("sort_key_json", "container_id")), ("occurrence", in_order(plan))):
-        for r in rows.toLocalIterator():
-            yield dump({"record_type": kind} | _record(r))
+    for kind, rows, order in (("container", containers, ("sort_key_json", "container_id")), ("occurrence", plan, ORDER)):
+        for r in records(rows, kind, order).orderBy(*order).select("line").toLocalIterator():
+            yield r["line"]
+
+
+def write_parts(plan: DataFrame, containers: DataFrame, path: str) -> None:
+    """The same records as text files in ``path``/container and ``path``/occurrence, whose order is that of the manifest."""
+    for kind, rows, order in (("container", containers, ("sort_key_json", "container_id")), ("occurrence", plan, ORDER)):
+        records(rows, kind, order).orderBy(*order).select("line").write.text(f"{path}/{kind}")
 
 
 def write_atomically(path: str, parts) -> None:

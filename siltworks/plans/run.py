@@ -52,7 +52,7 @@ def run(spark: SparkSession, source: str, destination: str, policy: Policy = Pol
         for name in ("occurrences", "containers", "blobs", "plan"):
             shutil.rmtree(os.path.join(state, name), ignore_errors=True)
         _LOG.info("discovery")
-        found = recover(directory.nodes(directory.inventory(spark, source)), policy, root_name)
+        found = recover(directory.nodes(directory.inventory(spark, source), most=None if os.path.isfile(source) else policy.max_member_bytes), policy, root_name)
         for name, df in zip(("occurrences", "containers", "blobs"), found):
             df.write.parquet(table(name))
         _LOG.info("plan")
@@ -61,6 +61,10 @@ def run(spark: SparkSession, source: str, destination: str, policy: Policy = Pol
         if not planner.clashes(spark.read.parquet(table("plan"))).isEmpty():
             raise publish.Conflict("two contents would have one path")
         _save(meta, key | {"phase": "frozen"})
+    elif planner.differs(spark.read.parquet(table("plan")), planner.make_plan(spark.read.parquet(table("occurrences")), policy)):
+        raise publish.Conflict("the saved plan isn't what its occurrences give")
+    if saved:
+        publish.sweep(os.path.abspath(destination))
     plan, containers, blobs = (spark.read.parquet(table(n)) for n in ("plan", "containers", "blobs"))
     _LOG.info("publish")
     done = publish.publish(plan, blobs, os.path.abspath(destination))

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .functions import identify, text
 from .operators import budgets, levels
-from .operators.expand import recover
+from .operators.expand import leaf_status, recover
 from .operators.policy import Policy
-from .plans import planner, report
-from .sources import mail
+from .plans import planner, publish, report
+from .schema import CONTAINER
+from .sources import archives, mail
+from .storage import fresh_path, written
 from .streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,17 +53,17 @@ _OCC = """occ AS (SELECT *, 'occurrence-' || substr(sha256(k), 1, 24) AS oid FRO
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences of ``documents``: a file of each text in a folder of its source. Names are ASCII, so lower case is their fold."""
+    """Occurrences of ``documents``: a file of each text in a folder of its source."""
     x = _t(spark, d, "documents").select("doc_id", "source", F.col("text"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("original_name"))
     x = x.withColumn("source_path", F.concat_ws("/", "source", "original_name"))
-    step = F.concat(F.lit("source_dir:"), "source")
-    pair = lambda c: (F.lower(c), F.lower(F.hex(c)))
-    x = x.withColumn("sort_key", F.array(*pair(F.col("source_path")), *pair(step), *pair(F.col("original_name")))).withColumn("sort_key_json", F.to_json("sort_key"))
+    kind = "array<struct<kind:string,identifier:string,original_name:string>>"
+    above = F.array(F.struct(F.lit("source_dir").alias("kind"), F.col("source").alias("identifier"), F.col("source").alias("original_name"))).cast(kind)
+    x = x.withColumn("ancestry", above).withColumn("key", text.identity_of(F.col("source_path"), F.col("ancestry"), F.col("original_name")))
     detection = F.struct(F.lit("text/plain").alias("media_type"), F.lit("documents").alias("group"), F.lit(".txt").alias("extension"), F.lit("extension").alias("method"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("string").alias("reason"), F.lit(1).alias("registry_version"))
     some = F.col("text").isNotNull()
     return x.select(
-        "doc_id", text.stable_id_of("occurrence", F.col("sort_key_json")).alias("occurrence_id"), "sort_key", "sort_key_json", "source_path", F.lit("corpus").alias("source_root"),
-        F.array(F.struct(F.lit("source_dir").alias("kind"), F.col("source").alias("identifier"), F.col("source").alias("original_name"))).alias("ancestry"), "original_name", F.col("original_name").alias("generated_name"), detection.alias("detection"),
+        "doc_id", "key.occurrence_id", "key.sort_key", "key.sort_key_json", "source_path", F.lit("corpus").alias("source_root"),
+        "ancestry", "original_name", F.col("original_name").alias("generated_name"), detection.alias("detection"),
         F.when(some, "eligible").otherwise("unprocessed").alias("status"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size"), F.when(~some, "unreadable").alias("reason"), F.array().cast("array<struct<code:string,detail:string>>").alias("diagnostics"), F.create_map().cast("map<string,string>").alias("metadata"),
     )
 
@@ -139,14 +141,22 @@ def q09_subtree_rollup(spark, d):
 _SMALL = Policy(max_member_bytes=45, max_container_bytes=400, max_expansion_ratio=20, max_members_per_container=5)
 
 
+def _declared(size: str, packed):
+    @F.pandas_udf("string")
+    def run(sizes: pd.Series, packs: pd.Series) -> pd.Series:
+        return pd.Series([archives.declared_reason(int(s), None if pd.isna(p) else int(p), _SMALL) for s, p in zip(sizes, packs)], dtype=object)
+
+    return run(size, packed)
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'member_size_limit' END AS reason FROM lineitem")
 def q10_member_limit(spark, d):
-    return _lines(spark, d).select("l_orderkey", "l_linenumber", budgets.declared_reason(F.col("size"), None, _SMALL).alias("reason"))
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", _declared("size", F.lit(None).cast("long")).alias("reason"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'member_size_limit' WHEN l_quantity > 0 AND l_quantity / greatest(l_linenumber, 1) > 20 THEN 'expansion_ratio_limit' END AS reason FROM lineitem")
 def q11_ratio_limit(spark, d):
-    return _lines(spark, d).select("l_orderkey", "l_linenumber", budgets.declared_reason(F.col("size"), F.col("l_linenumber"), _SMALL).alias("reason"))
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", _declared("size", "l_linenumber").alias("reason"))
 
 
 @query("SELECT l_orderkey, CASE WHEN count(*) > 5 THEN 'unprocessed' ELSE 'expanded' END AS status, CASE WHEN count(*) > 5 THEN 'member_count_limit' END AS reason FROM lineitem GROUP BY l_orderkey")
@@ -157,8 +167,12 @@ def q12_count_limit(spark, d):
 
 @query("WITH b AS (SELECT l_orderkey, l_linenumber, 45 AS m, 100 - l_quantity::BIGINT AS g, 20 * l_linenumber::BIGINT AS r FROM lineitem) SELECT l_orderkey, l_linenumber, least(m, g, r)::BIGINT AS bound, CASE least(m, g, r) WHEN m THEN 'member_size_limit' WHEN g THEN 'global_size_limit' ELSE 'expansion_ratio_limit' END AS reason FROM b")
 def q13_effective_bound(spark, d):
-    bound, why = budgets.effective_bound([(F.lit(45).cast("long"), "member_size_limit"), (100 - F.col("size"), "global_size_limit"), (20 * F.col("l_linenumber").cast("long"), "expansion_ratio_limit")])
-    return _lines(spark, d).select("l_orderkey", "l_linenumber", bound.alias("bound"), why.alias("reason"))
+    @F.pandas_udf("struct<bound:long,reason:string>")
+    def tightest(size: pd.Series, number: pd.Series) -> pd.DataFrame:
+        found = [archives.tightest([(45, "member_size_limit"), (100 - int(s), "global_size_limit"), (20 * int(n), "expansion_ratio_limit")]) for s, n in zip(size, number)]
+        return pd.DataFrame(found, columns=["bound", "reason"])
+
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", tightest("size", "l_linenumber").alias("x")).select("l_orderkey", "l_linenumber", "x.bound", "x.reason")
 
 
 _BUDGET = Policy(max_container_bytes=1200, max_member_bytes=1000, max_run_bytes=1 << 50)
@@ -186,22 +200,18 @@ def q15_failed_retained(spark, d):
 
 @query("SELECT CASE WHEN json_valid(props) AND left(props, 1) IN ('{', '[') THEN 'data' ELSE 'other' END AS \"group\", CASE WHEN json_valid(props) AND left(props, 1) IN ('{', '[') THEN '.json' ELSE '.bin' END AS extension, count(*) AS n FROM events GROUP BY ALL")
 def q16_json_sniff(spark, d):
-    @F.pandas_udf("struct<group:string,extension:string>")
-    def sniff(values: pd.Series) -> pd.DataFrame:
-        found = [identify.identify((v or "").encode(), "props") for v in values]
-        return pd.DataFrame({"group": [f.group for f in found], "extension": [f.extension for f in found]})
-
-    return _t(spark, d, "events").select(sniff("props").alias("x")).groupBy("x.group", "x.extension").agg(F.count("*").alias("n"))
+    found = identify.kind_of(F.encode(F.coalesce("props", F.lit("")), "UTF-8"), F.lit("props"))
+    return _t(spark, d, "events").select(found.alias("x")).groupBy("x.group", "x.extension").agg(F.count("*").alias("n"))
 
 
 _EXT = "CASE page_id % 8 WHEN 0 THEN 'documents' WHEN 1 THEN 'images' WHEN 2 THEN 'images' WHEN 3 THEN 'data' WHEN 5 THEN 'data' ELSE 'other' END"
 
 
-@query(f"SELECT {_EXT} AS \"group\", CASE page_id % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tif' WHEN 3 THEN '.yaml' WHEN 5 THEN '.sqlite' ELSE '.bin' END AS extension, count(*) AS n FROM pages GROUP BY ALL")
+@query(f"SELECT {_EXT} AS \"group\", CASE page_id % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.jpg' WHEN 2 THEN '.tif' WHEN 3 THEN '.yaml' WHEN 4 THEN '.docx' WHEN 5 THEN '.sqlite' ELSE '.bin' END AS extension, count(*) AS n FROM pages GROUP BY ALL")
 def q17_extension_lookup(spark, d):
     names = F.array(*[F.lit(x) for x in ("a.PDF.txt", "b.JPEG", "c.tiff", "d.yml", "e.docx", "f.db", ".txt", "g")])
-    x = _t(spark, d, "pages").select(identify.extension_of(F.get(names, (F.col("page_id") % 8).cast("int"))).alias("x"))
-    return x.select(F.coalesce("x.group", F.lit("other")).alias("group"), F.coalesce("x.extension", F.lit(".bin")).alias("extension")).groupBy("group", "extension").agg(F.count("*").alias("n"))
+    x = _t(spark, d, "pages").select(identify.kind_of(F.encode("html", "UTF-8"), F.get(names, (F.col("page_id") % 8).cast("int"))).alias("x"))
+    return x.groupBy("x.group", "x.extension").agg(F.count("*").alias("n"))
 
 
 _PREFIX = ["89504E470D0A1A0A", "FFD8FF", "47494638", "49492A00", "494433", "664C6143", "53514C69746520666F726D6174203300", "526172211A0700", "377ABCAF271C", ""]
@@ -215,9 +225,8 @@ def _case(values, of="doc_id % 10"):
 def _magic(spark, d):
     heads = F.array(*[F.unhex(F.lit(p)) for p in _PREFIX])
     payload = F.concat(F.get(heads, (F.col("doc_id") % 10).cast("int")), F.encode("text", "UTF-8"))
-    found = identify.magic_of(payload)
-    suffix = identify.extension_of(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return _t(spark, d, "documents").where("text is not null").select(F.coalesce(found["group"], suffix["group"]).alias("group"), F.coalesce(found["extension"], suffix["extension"]).alias("extension"), F.coalesce(found["method"], F.lit("extension")).alias("method"))
+    rows = _t(spark, d, "documents").where("text is not null")
+    return rows.select(identify.kind_of(payload, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("x")).select("x.*")
 
 
 @query(f"SELECT {_case([g for g, _ in _MAGIC])} AS \"group\", {_case([e for _, e in _MAGIC])} AS extension, CASE WHEN doc_id % 10 = 9 THEN 'extension' ELSE 'signature' END AS method, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
@@ -225,11 +234,15 @@ def q18_magic(spark, d):
     return _magic(spark, d).groupBy("group", "extension", "method").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE WHEN doc_id % 10 = 7 THEN 'unprocessed' ELSE 'skipped' END AS status, CASE WHEN doc_id % 10 = 7 THEN 'unsupported_rar' ELSE 'policy_non_pdf' END AS reason, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+@query("SELECT CASE WHEN doc_id % 10 = 7 THEN 'unprocessed' ELSE 'skipped' END AS status, CASE WHEN doc_id % 10 = 7 THEN 'unsupported_rar' ELSE 'policy_non_pdf' END AS reason, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 8 GROUP BY ALL")
 def q19_pdf_only(spark, d):
-    rar, pdf = F.col("extension") == ".rar", F.col("group") == "pdf"
-    x = _magic(spark, d).select(F.when(rar, "unprocessed").when(pdf, "eligible").otherwise("skipped").alias("status"), F.when(rar, "unsupported_rar").when(~pdf, "policy_non_pdf").alias("reason"))
-    return x.groupBy("status", "reason").agg(F.count("*").alias("n"))
+    @F.pandas_udf("struct<status:string,reason:string>")
+    def decided(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = [identify.Kind(*[None if pd.isna(v) else v for v in r]) for r in rows.itertuples(index=False)]
+        return pd.DataFrame([leaf_status(k, replace(POLICY, pdf_only=True)) for k in kinds], columns=["status", "reason"])
+
+    x = _magic(spark, d).where("container is null").select(decided(F.struct("media_type", "group", "extension", "method", "container", "reason")).alias("x"))
+    return x.groupBy("x.status", "x.reason").agg(F.count("*").alias("n"))
 
 
 @query("WITH p AS (SELECT unnest([url, regexp_replace(url, '^https?://', ''), '../' || page_id, 'a\\..\\b' || page_id, 'C:x', page_id || '..txt']) AS p FROM pages) SELECT p AS path, regexp_matches(p, '^[/\\\\]|^[A-Za-z]:') OR contains(p, ':') OR list_contains(string_split(replace(p, '\\', '/'), '/'), '..') AS unsafe, count(*) AS n FROM p GROUP BY ALL")
@@ -437,8 +450,97 @@ def q37_manifest_counts(spark, d):
 
 @query(f"WITH {_OCC} SELECT doc_id, sha256('{{\"digest\":' || coalesce('\"' || digest || '\"', 'null') || ',\"occurrence_id\":\"' || oid || '\",\"original_name\":\"' || name || '\",\"size\":' || coalesce(size::VARCHAR, 'null') || '}}') AS line FROM occ")
 def q38_manifest_rows(spark, d):
-    line = F.to_json(F.struct("digest", "occurrence_id", "original_name", "size"), {"ignoreNullFields": "false"})
-    return documents(spark, d).select("doc_id", F.sha2(line, 256).alias("line"))
+    rows = documents(spark, d).select("doc_id", "digest", "occurrence_id", "original_name", "size")
+    return report.records(rows, None, ("doc_id",), ("doc_id",)).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("line", 256).alias("line"))
+
+
+_MARKS = [("documents", ".docx", ["[Content_Types].xml", "word/d.xml"]), ("spreadsheets", ".xlsx", ["[Content_Types].xml", "xl/w.xml"]), ("ebooks", ".epub", ["mimetype"]), ("packages", ".jar", ["META-INF/MANIFEST.MF"]), ("packages", ".whl", ["a-1.dist-info/WHEEL"]), ("packages", ".war", ["WEB-INF/web.xml", "META-INF/MANIFEST.MF"]), ("other", ".zip", ["readme"])]
+
+
+@query(f"SELECT {_case([g for g, _, _ in _MARKS], 'p_partkey % 7')} AS \"group\", {_case([e for _, e, _ in _MARKS], 'p_partkey % 7')} AS extension, CASE WHEN p_partkey % 7 = 6 THEN 'structure' ELSE 'package_profile' END AS method, count(*) AS n FROM part GROUP BY ALL")
+def q39_package_profiles(spark, d):
+    @F.pandas_udf("binary")
+    def build(keys: pd.Series, names: pd.Series) -> pd.Series:
+        def one(key: int, name: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for member in _MARKS[key % 7][2]:
+                    z.writestr(member, "application/epub+zip" if member == "mimetype" else name)
+            return out.getvalue()
+
+        return pd.Series([one(k, n) for k, n in zip(keys, names)], dtype=object)
+
+    x = _t(spark, d, "part").select(identify.kind_of(build("p_partkey", "p_name"), F.lit("x.bin")).alias("x"))
+    return x.groupBy("x.group", "x.extension", "x.method").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN page_id % 4 < 3 THEN 'tar' END AS container, CASE WHEN page_id % 4 < 3 THEN '.tar' ELSE '.html' END AS extension, count(*) AS n FROM pages GROUP BY ALL")
+def q40_tar_detection(spark, d):
+    """Archives by their bytes under a foreign name, and by their name alone."""
+    @F.pandas_udf("binary")
+    def build(keys: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_tar([k], [t.encode()], ("", "gz")[k % 4]) if k % 4 < 2 else t.encode() for k, t in zip(keys, texts)], dtype=object)
+
+    name = F.when(F.col("page_id") % 4 == 2, "a.TAR.ZST").otherwise("page.html")
+    x = _t(spark, d, "pages").select(identify.kind_of(build("page_id", "html"), name).alias("x"))
+    return x.groupBy("x.container", "x.extension").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, substr(n, 1, 167) || '-' || substr(sha256(n), 1, 8) || '.txt' AS name FROM (SELECT page_id, rpad(page_id || '-', 240, 'x') || '.txt' AS n FROM pages)")
+def q41_component_bound(spark, d):
+    name = F.concat(F.rpad(F.concat(F.col("page_id").cast("string"), F.lit("-")), 240, "x"), F.lit(".txt"))
+    return _t(spark, d, "pages").select("page_id", text.safe_name_of(name)["name"].alias("name"))
+
+
+@query("SELECT p_partkey, replace(p_name, '.', '_') || '_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.jpg' ELSE '.pdf' END AS name FROM part")
+def q42_canonical_name(spark, d):
+    given = F.concat(F.replace("p_name", F.lit("."), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".JPEG"))
+    found = text.canonical_name_of(given, F.when(F.col("p_partkey") % 2 == 0, ".jpg").otherwise(".pdf"))
+    return _t(spark, d, "part").select("p_partkey", found["name"].alias("name"))
+
+
+@query(f"WITH {_OCC} SELECT 'occurrence' AS record_type, CASE WHEN digest IS NULL THEN 'unprocessed' WHEN doc_id = {_FIRST} THEN 'published' ELSE 'duplicate' END AS status, oid AS occurrence_id, digest FROM occ")
+def q43_manifest_parts(spark, d):
+    """The manifest as it is written and read back."""
+    plan = planner.make_plan(documents(spark, d))
+    path = fresh_path(spark, "manifest")
+    report.write_parts(plan.drop("doc_id"), spark.createDataFrame([], CONTAINER), path)
+    return spark.read.schema("record_type string, status string, occurrence_id string, digest string").json(f"{path}/occurrence")
+
+
+@query(f"WITH {_OCC}, p AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY k, oid) AS r FROM occ WHERE digest IS NOT NULL) SELECT 'documents/corpus/' || path AS canonical_path, digest, size FROM p WHERE r = 1")
+def q44_published_files(spark, d):
+    """Every content once under its path, as read back from the folder it was published to."""
+    plan = written(planner.make_plan(documents(spark, d)), "plan")
+    blobs = _t(spark, d, "documents").where("text is not null").select(F.sha2("text", 256).alias("digest"), F.encode("text", "UTF-8").alias("payload"))
+    path = fresh_path(spark, "published")
+    root = path.removeprefix("file://")
+    publish.publish(plan, blobs, root).write.format("noop").mode("overwrite").save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"(documents/corpus/.*)$", 1).alias("canonical_path"), F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
+
+
+@query("SELECT conv_id, part, count(*) AS n FROM (SELECT conv_id, unnest(['part-0002', 'part-0003']) AS part FROM conversations) GROUP BY ALL")
+def q45_mail_parts(spark, d):
+    """Of a message for each turn, with a display body, an inline picture and a text that is attached: the leaves' parts."""
+    @F.pandas_udf("binary")
+    def build(turns: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for turn, said in zip(turns, texts):
+            m = EmailMessage()
+            m["From"], m["Subject"] = "a@example.com", f"turn {turn}"
+            m.set_content("see below")
+            m.make_mixed()
+            m.add_attachment(b"\x89PNG\r\n\x1a\n", maintype="image", subtype="png", disposition="inline", cid="<p@example.com>")
+            m.add_attachment((said or "").encode(), maintype="application", subtype="octet-stream", filename=f"{turn}.bin")
+            out.append(m.as_bytes())
+        return pd.Series(out, dtype=object)
+
+    x = _t(spark, d, "conversations")
+    name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = x.select(F.array("conv_id", "turn").alias("visit"), F.concat(name, F.lit(".eml")).alias("name"), F.concat(name, F.lit(".eml")).alias("source_path"), build("turn", "text").alias("payload"))
+    found, _, _ = recover(rows, ROUND_TRIP, "mail")
+    return found.groupBy(F.regexp_extract("source_path", r"^([0-9]+)", 1).cast("long").alias("conv_id"), F.col("metadata")["mime_part_path"].alias("part")).agg(F.count("*").alias("n"))
 
 
 # --- extension: ordinary relational work over the tables ------------------------------------------------------------------
@@ -457,6 +559,10 @@ _EXT_SQL = {
     "ext_top_per_group": "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 3",
     "ext_set_operations": "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT r_regionkey FROM region",
     "ext_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)",
+    "ext_grouping_sets": "SELECT l_returnflag, l_shipmode_of, count(*) AS n FROM (SELECT l_returnflag, l_linenumber AS l_shipmode_of FROM lineitem) GROUP BY GROUPING SETS ((l_returnflag), (l_shipmode_of), ())",
+    "ext_offsets": "SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS quarter, percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS share FROM orders",
+    "ext_statistics": "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS spread, round(corr(l_quantity, l_discount), 6) AS link, count(*) FILTER (WHERE l_quantity > 25) AS large FROM lineitem GROUP BY l_returnflag",
+    "ext_regexp": "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)', 1) AS number, regexp_replace(c_name, '#0*', '-') AS plain FROM customer",
     "ext_strings": "SELECT c_custkey, upper(substr(c_name, 1, 4)) AS head, length(c_name) AS n, replace(c_mktsegment, 'E', 'e') AS seg FROM customer",
 }
 
@@ -490,6 +596,34 @@ def ext_asof_join(spark, d):
     return left.unionByName(right).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).where("side = 1").select("o_orderkey", "event_id")
 
 
+@query("SELECT p.p_partkey, count(e.event_id) AS n FROM part p LEFT JOIN events e ON e.value >= p.p_size AND e.value < p.p_size + 2 GROUP BY p.p_partkey")
+def ext_range_join(spark, d):
+    """Events in each part's interval of values: intervals and values are cut into bins of the interval's width, and joined on the bin;
+    equal intervals and equal values are counted before."""
+    parts = _t(spark, d, "part").select("p_partkey", F.col("p_size").alias("low"))
+    bins = parts.select("low").distinct().select("low", F.explode(F.sequence(F.floor(F.col("low") / 2), F.floor((F.col("low") + 2) / 2))).alias("bin"))
+    values = _t(spark, d, "events").groupBy("value").agg(F.count("*").alias("n")).withColumn("at", F.floor(F.col("value") / 2))
+    hit = bins.join(values, F.col("bin") == F.col("at")).where("value >= low and value < low + 2").groupBy("low").agg(F.sum("n").alias("n"))
+    return parts.join(hit, "low", "left").select("p_partkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT event_type, true AS near FROM events GROUP BY event_type")
+def ext_approximate(spark, d):
+    """Distinct users and the median value by sketches, held against the exact ones."""
+    x = _t(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.countDistinct("user_id").alias("b"), F.percentile_approx("value", 0.5, 10_000).alias("c"), F.percentile("value", 0.5).alias("e"), F.stddev("value").alias("s"))
+    return x.select("event_type", ((F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")) & (F.abs(F.col("c") - F.col("e")) <= 0.05 * F.col("s"))).alias("near"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+def ext_stream_sessions(spark, d):
+    return intake.session_counts(spark, d, "6 hours")
+
+
+@query("WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM w GROUP BY ALL")
+def ext_stream_sliding(spark, d):
+    return intake.windowed_counts(spark, d, "2 hours", "1 hour")
+
+
 @query("SELECT event_type, count(*) AS n, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day FROM events GROUP BY ALL")
 def ext_dates(spark, d):
     return _t(spark, d, "events").groupBy("event_type", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))

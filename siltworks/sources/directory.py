@@ -67,8 +67,8 @@ def inventory(spark: SparkSession, source: str) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal long, source_path string, folders array<string>, path binary, reason string")
 
 
-def nodes(listing: DataFrame, files_a_task: int = 64) -> DataFrame:
-    """Level-0 nodes of a listing; the executors read the files, which lie on a file system they share."""
+def nodes(listing: DataFrame, files_a_task: int = 64, most: int | None = None) -> DataFrame:
+    """Level-0 nodes of a listing; the executors read the files, which lie on a file system they share, unless they have over ``most`` bytes."""
     kind = "array<struct<kind:string,identifier:string,original_name:string>>"
     schema = pa.schema([("ordinal", pa.int64()), ("payload", pa.binary()), ("reason", pa.string())])
 
@@ -79,7 +79,12 @@ def nodes(listing: DataFrame, files_a_task: int = 64) -> DataFrame:
                 if reason is None:
                     try:
                         with open(os.open(row["path"], os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
-                            data = f.read()
+                            if most is not None and os.fstat(f.fileno()).st_size > most:
+                                reason = "member_size_limit"
+                            else:
+                                data = f.read() if most is None else f.read(most + 1)
+                                if most is not None and len(data) > most:  # it grew meanwhile
+                                    data, reason = None, "member_size_limit"
                     except OSError:
                         reason = "unreadable"
                 yield pa.RecordBatch.from_pylist([{"ordinal": row["ordinal"], "payload": data, "reason": reason}], schema)

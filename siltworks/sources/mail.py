@@ -12,6 +12,7 @@ from email.parser import BytesParser
 POLICY = email_policy.default.clone(utf8=True, refold_source="none", raise_on_defect=False)
 IDENTITY = ("message-id", "date", "from", "to", "subject")
 HEAD_BYTES = 1 << 16
+_IDENTITY = re.compile(rb"(?i)(?:^|[\r\n])(?:" + "|".join(IDENTITY).encode() + rb"):")
 _DELIMITER = re.compile(rb"^From [^\n]*\n?", re.MULTILINE)
 
 
@@ -40,8 +41,8 @@ def is_mbox(raw: bytes) -> bool:
 
 def is_message(raw: bytes) -> bool:
     head = raw[:HEAD_BYTES]
-    # a header needs a colon within the first lines; this spares most contents the parser
-    return b":" in head[:4096] and has_evidence(parse(head))
+    # without one of these at the start of a line there is no evidence; this spares most contents the parser
+    return _IDENTITY.search(head) is not None and has_evidence(parse(head))
 
 
 def part_id(path: tuple[int, ...]) -> str:

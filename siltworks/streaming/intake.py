@@ -37,13 +37,32 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{max(seen)}" if mode == "complete" else f"{out}/*")
 
 
-def windowed_counts(spark: SparkSession, folder: str, width: str = "1 hour") -> DataFrame:
-    """(window_start, event_type, n) of the event stream in tumbling windows."""
+def windowed_counts(spark: SparkSession, folder: str, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """(window_start, event_type, n) of the event stream in tumbling windows, or sliding ones."""
     events = _stream(spark, folder, "events")
-    found = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    found = events.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return drained(found.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n"), "windows", "complete")
 
 
+def session_counts(spark: SparkSession, folder: str, gap: str) -> DataFrame:
+    """(user_id, session_start, n): a session ends where a user's next event is ``gap`` away."""
+    events = _stream(spark, folder, "events")
+    found = events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return drained(found.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n"), "sessions", "complete")
+
+
+def settled_counts(events: DataFrame, width: str, late: str) -> DataFrame:
+    """(window_start, n) of a stream (ts, ...) whose state is bounded: a window is given out once the watermark, ``late`` behind the
+    latest event, has passed its end; what comes later still is left out."""
+    found = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"))
+    return found.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+def first_seen(rows: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """A stream (ts, keys, ...) without rows whose keys were seen within the watermark; older keys are forgotten."""
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def distinct_contents(spark: SparkSession, folder: str) -> DataFrame:
     """(digest): contents as they arrive, each once; the state is keyed by digest."""
     docs = _stream(spark, folder, "documents").where("text is not null").select(F.sha2("text", 256).alias("digest"))
