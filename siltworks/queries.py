@@ -362,7 +362,8 @@ def _mbox(ids, payloads) -> bytes:
 
 
 def _recovered(spark, d, pack, ending: str):
-    built = written(_build(spark, d, pack), "archives")  # read by the numbering and by the expansion
+    # read by the numbering and by the expansion; in as many files as there are tasks for it
+    built = written(_build(spark, d, pack).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive"), "archives")
     # the ordinals of archives follow from their names' order; only names travel
     order = budgets.running_total(built.select("archive", F.lit(1).cast("long").alias("one")), "one", ["archive"], 16).select(F.col("archive").alias("a"), F.array("running").alias("visit"))
     rows = built.join(order, F.col("archive") == F.col("a")).select("visit", F.concat("archive", F.lit(ending)).alias("name"), F.concat("archive", F.lit(ending)).alias("source_path"), "payload")
