@@ -179,7 +179,7 @@ def _within_budgets(levels: list[DataFrame], level: DataFrame, policy: Policy) -
     over = spent.join(due, F.col("container_id") == F.col("c")).where(F.col("expanded_bytes") + F.col("due") > policy.max_container_bytes)
     over = written(over.select("container_id", F.lit("container_size_limit").alias("reason")), "over")
     if not over.isEmpty():
-        level = budgets.surviving(level, over)
+        level = budgets.surviving(level, over, stored=True)
     left = packed.select("visit", F.explode("parents").alias("c")).join(if_small(spent), F.col("c") == F.col("container_id"))
     left = left.groupBy("visit").agg(F.min(F.struct((F.lit(policy.max_container_bytes) - F.col("expanded_bytes")).alias("room"), F.col("c").alias("owner"))).alias("x"))
     left = if_small(written(left.select(F.col("visit").alias("at"), "x.room", "x.owner"), "rooms"))
@@ -232,7 +232,7 @@ def recover(rows: DataFrame, policy: Policy = Policy(), source_root: str = "sour
     failed = written(over.unionByName(run.where("container_id is not null").select("container_id", "reason")).dropDuplicates(["container_id"]), "failed")
     lone = run.where("container_id is null").select(F.col("visit").alias("__v"), F.col("reason").alias("__why"))
     if not failed.isEmpty():
-        record = written(budgets.surviving(record, failed), "survivors")
+        record = written(budgets.surviving(record, failed, stored=True), "survivors")
     why = if_small(failed.select(F.col("container_id").alias("__c"), F.col("reason").alias("__reason")))
     record = record.join(why, F.col("container_id") == F.col("__c"), "left").join(lone, F.col("visit") == F.col("__v"), "left")
     cause = F.coalesce("__reason", "__why", "reason")

@@ -184,9 +184,10 @@ def test_surviving_by_set_and_by_join(spark, monkeypatch):
     failed = spark.createDataFrame([("c1",), ("d3",), ("zz",)], "container_id string")
     want = sorted(i for i in range(70) if i % 5 != 1 and i % 7 != 3)
     assert sorted(r["visit"][0] for r in budgets.surviving(rows, failed).collect()) == want
+    assert sorted(r["visit"][0] for r in budgets.surviving(rows, failed, stored=True).collect()) == want
     monkeypatch.setattr(budgets, "FEW", 1)
-    assert sorted(r["visit"][0] for r in budgets.surviving(rows, failed).collect()) == want
-    assert budgets.surviving(rows, failed.limit(0)).count() == 70
+    assert sorted(r["visit"][0] for r in budgets.surviving(rows, failed, stored=True).collect()) == want
+    assert budgets.surviving(rows, failed.limit(0), stored=True).count() == 70
 
 
 def test_large_files_are_not_read(spark, tmp_path):
