@@ -22,7 +22,7 @@ from ..functions.identify import Kind, identify
 from ..functions.text import canonical_name, compact, sort_key, stable_id
 from ..schema import DETECTION, NODE
 from ..sources import archives, mail
-from ..storage import if_small, written
+from ..storage import if_small, small_batches, written
 from . import budgets
 from .policy import Policy
 
@@ -147,17 +147,18 @@ def _level(nodes: DataFrame, policy: Policy) -> DataFrame:
     def run(batches):
         for batch in batches:
             held, size = [], 0
-            for i in range(batch.num_rows):
-                for row in _examine(batch.slice(i, 1).to_pylist()[0], policy):
+            for node in batch.to_pylist():  # of a batch of bounded size; row by row it takes several times as long
+                for row in _examine(node, policy):
                     held.append(row)
                     size += len(row["payload"] or b"") + 500
-                    if size > 16 << 20:
+                    if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(held, arrow)
                         held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return written(nodes.mapInArrow(run, _RECORD), "level")
+    with small_batches(nodes.sparkSession):
+        return written(nodes.mapInArrow(run, _RECORD), "level")
 
 
 def _within_budgets(levels: list[DataFrame], level: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +178,8 @@ def _within_budgets(levels: list[DataFrame], level: DataFrame, policy: Policy) -
     due = packed.select("parents", "name", "payload").mapInArrow(expect, "parents array<string>, due long")
     due = due.select(F.explode("parents").alias("c"), "due").groupBy("c").agg(F.sum("due").alias("due"))
     over = spent.join(due, F.col("container_id") == F.col("c")).where(F.col("expanded_bytes") + F.col("due") > policy.max_container_bytes)
-    over = written(over.select("container_id", F.lit("container_size_limit").alias("reason")), "over")
+    with small_batches(level.sparkSession):
+        over = written(over.select("container_id", F.lit("container_size_limit").alias("reason")), "over")
     if not over.isEmpty():
         level = budgets.surviving(level, over, stored=True)
     left = packed.select("visit", F.explode("parents").alias("c")).join(if_small(spent), F.col("c") == F.col("container_id"))

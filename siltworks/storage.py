@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Payloads go to the Python workers in Arrow batches of at most so many rows and bytes, whatever a task's share is.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is executed within has Arrow batches of ``BATCH``; the session's own settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def workspace(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only under a local master that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
