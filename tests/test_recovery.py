@@ -361,3 +361,32 @@ def test_small_batches_give_the_settings_back(spark):
     with small_batches(spark):
         assert {k: spark.conf.get(k) for k in BATCH} != before
     assert {k: spark.conf.get(k, None) for k in BATCH} == before
+
+
+def test_tar_gate_agrees_with_tarfile(monkeypatch):
+    import bz2
+    import gzip
+    import lzma
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        t.addfile(tarfile.TarInfo("a"), io.BytesIO(b""))
+    tar, rng = out.getvalue(), random.Random(1)
+    cases = [b"", b"a", b"\0" * 512, tar, tar[:600], tar[:300], gzip.compress(tar), bz2.compress(tar), lzma.compress(tar), lzma.compress(tar, format=lzma.FORMAT_ALONE), b'{"k": 1}', b"word " * 300]
+    cases += [rng.randbytes(rng.choice([4, 20, 512, 700])) for _ in range(200)]
+    for _ in range(200):
+        b = bytearray(tar)
+        b[rng.randrange(512)] ^= 1 << rng.randrange(8)
+        cases.append(bytes(b))
+
+    def plain(payload):
+        try:
+            return tarfile.is_tarfile(io.BytesIO(payload))
+        except (OSError, EOFError, ValueError):
+            return False
+
+    assert [identify.is_tar(c, "x") for c in cases] == [plain(c) for c in cases] and any(map(plain, cases))
+    calls = []
+    monkeypatch.setattr(tarfile, "is_tarfile", lambda f: calls.append(1))
+    identify.is_tar(b'{"k": 76}', "props"), identify.is_tar(b"plain words " * 100, "a.txt")
+    assert not calls
