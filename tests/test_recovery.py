@@ -390,3 +390,18 @@ def test_tar_gate_agrees_with_tarfile(monkeypatch):
     monkeypatch.setattr(tarfile, "is_tarfile", lambda f: calls.append(1))
     identify.is_tar(b'{"k": 76}', "props"), identify.is_tar(b"plain words " * 100, "a.txt")
     assert not calls
+
+
+def test_digest_of_a_mailbox_message_only_for_attached_ones(monkeypatch):
+    from email.message import EmailMessage
+
+    made = []
+    real = EmailMessage.as_bytes
+    one, two = queries._mbox([1], [b"text"]), EmailMessage()
+    two["From"], two["Subject"] = "a@example.com", "outer"
+    two.set_content("x")
+    two.add_attachment(mail.parse(one.partition(b"\n")[2]))
+    around = b"From x\n" + two.as_bytes()
+    monkeypatch.setattr(EmailMessage, "as_bytes", lambda self, **k: made.append(1) or real(self, **k))
+    assert [x["name"] for x in mail.mbox_leaves(one, [])] == ["1.txt"] and not made
+    assert [x["name"] for x in mail.mbox_leaves(around, [])] == ["attached-message.eml", "1.txt"] and len(made) == 2
