@@ -8,9 +8,11 @@ import shutil
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 class Conflict(Exception):
     """Something else lies where a file should go, or a saved run doesn't fit."""
@@ -85,3 +87,30 @@ def publish(plan: DataFrame, blobs: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([path, digest, pa.array(done, pa.string())], ["canonical_path", "digest", "result"])
 
     return joined.mapInArrow(run, "canonical_path string, digest string, result string")
+
+
+def published(spark: SparkSession, root: str, tasks: int) -> DataFrame:
+    """(path, digest, size) of every file below ``root``, relative to it: empty ones too, which Spark's binaryFile leaves out."""
+
+    def listed(batches):
+        for batch in batches:
+            for at in batch.column("path").to_pylist():
+                with os.scandir(os.path.join(root, at) if at else root) as entries:
+                    found = [(f"{at}/{e.name}" if at else e.name, e.is_dir(follow_symlinks=False)) for e in entries if not e.name.startswith(".part-")]
+                for k in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found[k : k + 10_000]], kind) for j, kind in enumerate((pa.string(), pa.bool_()))], ["path", "folder"])
+
+    def hashed(batches):
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            full = [os.path.join(root, p) for p in paths]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(map(_sha, full), pa.string()), pa.array(map(os.path.getsize, full), pa.int64())], ["path", "digest", "size"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        seen = written(level.mapInArrow(listed, "path string, folder boolean"), "listing")
+        here = seen.where("not folder").select("path")
+        files = here if files is None else files.unionByName(here)
+        level = seen.where("folder").select("path")
+        if level.isEmpty():
+            return files.repartition(tasks, "path").mapInArrow(hashed, "path string, digest string, size long")

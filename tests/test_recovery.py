@@ -405,3 +405,9 @@ def test_digest_of_a_mailbox_message_only_for_attached_ones(monkeypatch):
     monkeypatch.setattr(EmailMessage, "as_bytes", lambda self, **k: made.append(1) or real(self, **k))
     assert [x["name"] for x in mail.mbox_leaves(one, [])] == ["1.txt"] and not made
     assert [x["name"] for x in mail.mbox_leaves(around, [])] == ["attached-message.eml", "1.txt"] and len(made) == 2
+
+
+def test_empty_files_are_read_back(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "s"), (2, "", "s"), (3, "", "t"), (4, None, "t")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["canonical_path"], r["digest"], r["size"]) for r in queries.q44_published_files(spark, str(tmp_path)).collect()}
+    assert found == {(p, hashlib.sha256(b).hexdigest(), len(b)) for p, b in (("documents/corpus/s/1.txt", b"a"), ("documents/corpus/s/2.txt", b""))}
