@@ -50,9 +50,13 @@ def surviving(rows: DataFrame, failed: DataFrame, parents: str = "parents", stor
         names = [r["container_id"] for r in few]
         return rows.where(~F.exists(parents, lambda p: p.isin(names))) if names else rows
     f = failed.select(F.col("container_id").alias("__f")).distinct()
-    keyed = rows.withColumn("__row", F.xxhash64(*[F.to_json(F.struct(F.col(c))) if c == parents else F.col(c).cast("string") for c in rows.columns if c in (parents, "visit")]))
-    hit = keyed.select("__row", F.explode(parents).alias("__p")).join(f, F.col("__p") == F.col("__f"), "left_semi").select("__row").distinct()
-    return keyed.join(hit, "__row", "left_anti").drop("__row")
+    # rows without parents never meet a failed one; by their own names they spread over the tasks, of which one would get them all by their parents
+    inner = F.coalesce(F.size(parents) > 0, F.lit(False))
+    own = [F.col(c) for c in rows.columns if c in ("container_id", "visit")]
+    below = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if c == parents else F.col(c).cast("string") for c in rows.columns if c in (parents, "visit")])
+    keyed = rows.withColumn("__inner", inner).withColumn("__row", F.when(inner, below).otherwise(F.xxhash64(*own) if own else F.lit(0).cast("long")))
+    hit = keyed.where("__inner").select("__row", F.explode(parents).alias("__p")).join(f, F.col("__p") == F.col("__f"), "left_semi").select(F.lit(True).alias("__inner"), "__row").distinct()
+    return keyed.join(hit, ["__inner", "__row"], "left_anti").drop("__inner", "__row")
 
 
 def run_limits(events: DataFrame, policy: Policy) -> DataFrame:

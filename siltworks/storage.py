@@ -17,11 +17,15 @@ BROADCAST_ROWS = 500_000
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
+#: Rows of a task where tables of any size are joined and grouped.
+TASK_ROWS = 500_000
+
+
 @contextmanager
-def small_batches(spark: SparkSession):
-    """What is executed within has Arrow batches of ``BATCH``; the session's own settings come back after it."""
-    before = {k: spark.conf.get(k, None) for k in BATCH}
-    for k, v in BATCH.items():
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """What is executed within has these settings; the session's own come back after it."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -30,6 +34,18 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession):
+    """What is executed within has Arrow batches of ``BATCH``."""
+    return settings(spark, BATCH)
+
+
+def tasks_by_rows(spark: SparkSession, rows: int):
+    """What is executed within has a task for each ``TASK_ROWS`` of so many rows, which keeps the memory of a task whatever the table's
+    size is; partitions are not joined again by their compressed bytes, nor are files read many at a time."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return settings(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "8m"})
+
+
 def workspace(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only under a local master that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -459,3 +459,30 @@ def test_flat_messages_are_parsed_by_their_headers_alone(monkeypatch):
 
     monkeypatch.setattr(BytesParser, "parsebytes", lambda *a, **k: pytest.fail("the bodies were parsed line by line"))
     assert mail.parse(boxes[1]).get_payload(1).get_payload(decode=True) == "ä\n".encode() * 9
+
+
+def test_rows_without_parents_spread_over_the_tasks(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("c"), F.col("id")).alias("container_id"), F.when(F.col("id") % 4 > 0, F.array(F.concat(F.lit("c"), F.col("id") - F.col("id") % 4))).otherwise(F.array()).alias("parents"))
+    failed = spark.createDataFrame([("c8",), ("c12",), ("c13",)], "container_id string")
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        left = budgets.surviving(rows, failed)
+        assert {r["container_id"] for r in rows.collect()} - {r["container_id"] for r in left.collect()} == {f"c{i}" for i in (9, 10, 11, 13, 14, 15)} and left.columns == rows.columns
+        tops = left.where("size(parents) = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(tops) == 4 and max(r["count"] for r in tops) < 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+
+
+def test_tasks_by_rows(spark):
+    from siltworks.storage import TASK_ROWS, tasks_by_rows
+
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    for rows, tasks in ((0, cores), (TASK_ROWS * cores + 1, cores + 1), (TASK_ROWS * 1000, 1000)):
+        with tasks_by_rows(spark, rows):
+            assert spark.conf.get(name) == str(tasks)
+    assert spark.conf.get(name) == before
