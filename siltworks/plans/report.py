@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.policy import Policy
 from ..schema import Outcome
+from ..storage import small_batches
 from .planner import ORDER
 
 TOOL = "siltworks"
@@ -66,7 +67,8 @@ def lines(plan: DataFrame, containers: DataFrame, policy: Policy, source: dict[s
 def write_parts(plan: DataFrame, containers: DataFrame, path: str) -> None:
     """The same records as text files in ``path``/container and ``path``/occurrence, whose order is that of the manifest."""
     for kind, rows, order in (("container", containers, ("sort_key_json", "container_id")), ("occurrence", plan, ORDER)):
-        records(rows, kind, order).orderBy(*order).select("line").write.text(f"{path}/{kind}")
+        with small_batches(rows.sparkSession):
+            records(rows, kind, order).orderBy(*order).select("line").write.text(f"{path}/{kind}")
 
 
 def write_atomically(path: str, parts) -> None:
