@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bounded_path_of, family_of, fold, fold_of, numbered, numbered_of, safe_name_of
 from ..operators.policy import Policy
-from ..storage import if_small, written
+from ..storage import if_small, small_batches, written
 
 ORDER = ("sort_key_json", "occurrence_id")
 
@@ -101,12 +101,8 @@ def folder_parts(policy: Policy) -> Column:
     return F.concat(group, F.array("source_root"), names)
 
 
-def make_plan(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Occurrences with final ``status``, ``canonical_occurrence_id`` and ``canonical_path``.
-
-    The first publishable row of a content in the global order is canonical and gets a path; later ones become "duplicate" and
-    point to it; all others stay as they are.
-    """
+def _canonical_paths(rows: DataFrame, policy: Policy) -> DataFrame:
+    """(__d, canonical_occurrence_id, canonical_path, __moved) of each content that is published."""
     firsts = canonical(rows, policy)
     head = written(rows.join(firsts.select(F.col("first.occurrence_id").alias("__o"), F.col("digest").alias("__d")), (F.col("occurrence_id") == F.col("__o")) & (F.col("digest") == F.col("__d")), "left_semi").select(*ORDER, "digest", "detection", "ancestry", "source_root", safe_name_of(F.col("generated_name"), "file.bin")["name"].alias("requested")).withColumn("parts", folder_parts(policy)), "canonical")
     folders = assign_directories(head.groupBy("parts").agg(F.min(F.struct(*ORDER)).alias("first")))
@@ -114,7 +110,18 @@ def make_plan(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     placed = head.join(folders, "parts").withColumn("folder_key", fold_of(F.array_join("resolved", "/")))
     named = assign_names(placed.select(*ORDER, "digest", "requested", "resolved", "folder_key", F.size(F.split("detection.group", "/")).alias("protected")))
     path = bounded_path_of(F.concat("resolved", F.array("chosen")), F.col("protected"))
-    known = written(named.select(F.col("digest").alias("__d"), F.col("occurrence_id").alias("canonical_occurrence_id"), path.alias("canonical_path"), (F.col("chosen") != F.col("requested")).alias("__moved")), "canonical-paths")
+    return written(named.select(F.col("digest").alias("__d"), F.col("occurrence_id").alias("canonical_occurrence_id"), path.alias("canonical_path"), (F.col("chosen") != F.col("requested")).alias("__moved")), "canonical-paths")
+
+
+def make_plan(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Occurrences with final ``status``, ``canonical_occurrence_id`` and ``canonical_path``.
+
+    The first publishable row of a content in the global order is canonical and gets a path; later ones become "duplicate" and
+    point to it; all others stay as they are.
+    """
+    # names reach Python in small batches, whatever a task's share is
+    with small_batches(rows.sparkSession):
+        known = _canonical_paths(rows, policy)
     joined = rows.withColumn("__can", F.coalesce(publishable(policy), F.lit(False))).join(known, F.col("__can") & (F.col("digest") == F.col("__d")), "left")
     own = F.col("occurrence_id") == F.col("canonical_occurrence_id")
     status = F.when(F.col("canonical_occurrence_id").isNull(), F.col("status")).when(~own, "duplicate").when(F.col("status") == "eligible", "published").otherwise(F.col("status"))
@@ -131,4 +138,7 @@ def clashes(plan: DataFrame) -> DataFrame:
 def differs(frozen: DataFrame, again: DataFrame) -> bool:
     """Whether a plan made anew has rows that the frozen one lacks, or lacks some."""
     a, b = (x.select(F.sha2(F.to_json(F.struct(*sorted(x.columns))), 256).alias("row")) for x in (frozen, again))
-    return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+    # either way at once: rows are made and compared a single time
+    both = a.select("row", F.lit(1).alias("n")).unionByName(b.select("row", F.lit(-1).alias("n")))
+    with small_batches(frozen.sparkSession):
+        return not both.groupBy("row").agg(F.sum("n").alias("n")).where("n != 0").isEmpty()

@@ -15,7 +15,7 @@ from siltworks.functions import identify, text
 from siltworks.operators import budgets, expand
 from siltworks.operators.expand import recover
 from siltworks.operators.policy import Policy
-from siltworks.plans import planner, publish, run
+from siltworks.plans import planner, publish, report, run
 from siltworks.schema import Outcome
 from siltworks.sources import archives, directory, mail
 from siltworks.streaming import intake
@@ -486,3 +486,19 @@ def test_tasks_by_rows(spark):
         with tasks_by_rows(spark, rows):
             assert spark.conf.get(name) == str(tasks)
     assert spark.conf.get(name) == before
+
+
+def test_plans_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"text {i % 5}", "s") for i in range(9)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    noted = lambda f: lambda *a: seen.append(spark.conf.get(name)) or f(*a)
+    for module, what in ((planner, "written"), (report, "records")):
+        monkeypatch.setattr(module, what, noted(getattr(module, what)))
+    before = spark.conf.get(name)
+    plan = planner.make_plan(queries.documents(spark, str(tmp_path)))
+    report.write_parts(plan.drop("doc_id"), spark.createDataFrame([], queries.CONTAINER), f"{tmp_path}/parts")
+    assert len(seen) > 5 and set(seen) == {"1000"} and spark.conf.get(name) == before
+    assert spark.read.text(f"{tmp_path}/parts/occurrence").count() == 9
+    kept = plan.where("doc_id < 4").localCheckpoint()
+    assert not planner.differs(kept, kept.repartition(3))
+    assert planner.differs(kept, kept.unionByName(kept.where("doc_id = 1"))) and planner.differs(kept, kept.where("doc_id < 3")) and planner.differs(kept, kept.withColumn("size", F.col("doc_id")))
